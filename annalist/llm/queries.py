@@ -7,16 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import exact_dedup as _exact
+from annalist.llm import packing as _packing
+from annalist.llm import substring_dedup as _substring
 from annalist.llm.common import documents, tune
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return _packing.digest(_packing.pack(documents(spark, sf_dir), tokenizer_path()))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return _substring.digest(_substring.substring_dedup(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup}
+    return {
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_packing": op6_packing,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _exact.oracle_sql()}
+    return {"op5_exact_dedup": _exact.oracle_sql(), "op10_substring_dedup": _substring.oracle_sql()}
