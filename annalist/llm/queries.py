@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import exact_dedup as _exact
+from annalist.llm import near_dedup as _near
 from annalist.llm import packing as _packing
 from annalist.llm import substring_dedup as _substring
 from annalist.llm.common import documents, tune
@@ -18,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return _near.near_dedup(documents(spark, sf_dir), percent=85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(documents(spark, sf_dir))
 
@@ -34,6 +40,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
         "op10_substring_dedup": op10_substring_dedup,
@@ -41,4 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _exact.oracle_sql(), "op10_substring_dedup": _substring.oracle_sql()}
+    return {
+        "op1_near_dedup": _near.oracle_sql(),
+        "op5_exact_dedup": _exact.oracle_sql(),
+        "op10_substring_dedup": _substring.oracle_sql(),
+    }
