@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import exact_dedup as _exact
+from annalist.llm import license_scan as _license
 from annalist.llm import near_dedup as _near
 from annalist.llm import packing as _packing
 from annalist.llm import substring_dedup as _substring
@@ -33,6 +34,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return _license.digest(_license.license_scan(documents(spark, sf_dir)))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return _substring.digest(_substring.substring_dedup(documents(spark, sf_dir)))
@@ -43,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
+        "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
@@ -51,5 +58,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": _near.oracle_sql(),
         "op5_exact_dedup": _exact.oracle_sql(),
+        "op9_license_scan": _license.oracle_sql(),
         "op10_substring_dedup": _substring.oracle_sql(),
     }
