@@ -12,6 +12,7 @@ from annalist.llm import near_dedup as _near
 from annalist.llm import nearest as _nearest
 from annalist.llm import packing as _packing
 from annalist.llm import substring_dedup as _substring
+from annalist.llm import toxicity as _toxicity
 from annalist.llm.common import documents, tune
 
 
@@ -41,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return _toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return _license.digest(_license.license_scan(documents(spark, sf_dir)))
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nearest": op4_nearest,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
+        "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
