@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import exact_dedup as _exact
 from annalist.llm import license_scan as _license
+from annalist.llm import lm_score as _lm
 from annalist.llm import near_dedup as _near
 from annalist.llm import nearest as _nearest
 from annalist.llm import packing as _packing
@@ -42,6 +43,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return _lm.lm_score(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return _toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nearest": op4_nearest,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
+        "op7_lm_score": op7_lm_score,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
