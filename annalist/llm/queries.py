@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from annalist.llm import exact_dedup as _exact
 from annalist.llm import license_scan as _license
 from annalist.llm import lm_score as _lm
+from annalist.llm import mixing as _mixing
 from annalist.llm import near_dedup as _near
 from annalist.llm import nearest as _nearest
 from annalist.llm import packing as _packing
@@ -28,6 +29,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_dedup(documents(spark, sf_dir), percent=85)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(documents(spark, sf_dir))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     index = _nearest.build_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -66,6 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op3_mixing": op3_mixing,
         "op4_nearest": op4_nearest,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": _near.oracle_sql(),
+        "op3_mixing": _mixing.oracle_sql(),
         "op4_nearest": _nearest.oracle_sql(),
         "op5_exact_dedup": _exact.oracle_sql(),
         "op9_license_scan": _license.oracle_sql(),
