@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import exact_dedup as _exact
 from annalist.llm import license_scan as _license
+from annalist.llm import line_dedup as _line
 from annalist.llm import lm_score as _lm
 from annalist.llm import mixing as _mixing
 from annalist.llm import near_dedup as _near
@@ -29,6 +30,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_dedup(documents(spark, sf_dir), percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line.digest(_line.line_dedup(documents(spark, sf_dir)))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(documents(spark, sf_dir))
 
@@ -71,6 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_line_dedup": op2_line_dedup,
         "op3_mixing": op3_mixing,
         "op4_nearest": op4_nearest,
         "op5_exact_dedup": op5_exact_dedup,
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": _near.oracle_sql(),
+        "op2_line_dedup": _line.oracle_sql(),
         "op3_mixing": _mixing.oracle_sql(),
         "op4_nearest": _nearest.oracle_sql(),
         "op5_exact_dedup": _exact.oracle_sql(),
