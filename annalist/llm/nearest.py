@@ -16,11 +16,14 @@ from annalist.llm.common import materialise
 QUERY_BLOCK = 8192  # queries sent to the executors at a time
 CHUNK = 2048
 QUERY_CHUNK = 512
+CODE_BITS = 256  # at least; a vector of fewer dimensions is padded, which makes its estimates as much finer
 BOUND = 4.0  # of the error, in its standard deviations: a neighbour is passed over with a chance below 1e-4
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    """Random orthonormal columns: what a rotation of the padded space does to the ``dim`` dimensions in use."""
+    bits = max(dim, CODE_BITS)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -30,8 +33,7 @@ def encode(vectors: np.ndarray, center: np.ndarray, rotate: np.ndarray) -> tuple
     length = np.sqrt((residual * residual).sum(axis=1))
     turned = residual @ rotate.T
     bits = turned > 0
-    dim = vectors.shape[1]
-    aligned = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+    aligned = np.abs(turned).sum(axis=1) / math.sqrt(rotate.shape[0])
     correction = np.where(length > 0, aligned / np.where(length > 0, length, 1), 1.0)
     return np.packbits(bits, axis=1), length, correction
 
@@ -105,10 +107,11 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows, squares added in the order of the components."""
+    step = a - b
+    step *= step
     total = np.zeros(len(a))
     for i in range(a.shape[1]):
-        step = a[:, i] - b[:, i]
-        total += step * step
+        total += step[:, i]
     return np.sqrt(total)
 
 
@@ -140,7 +143,9 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, center: np.ndarray, seed
         dim = len(center)
         residual = queries - center
         q_length = np.sqrt((residual * residual).sum(axis=1))
-        turned = (residual @ rotation(dim, seed).T).astype(np.float32)
+        rotate = rotation(dim, seed)
+        bits = len(rotate)
+        turned = (residual @ rotate.T).astype(np.float32)
         best = _Best(len(queries), k)
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
@@ -148,11 +153,11 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, center: np.ndarray, seed
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 vectors = _matrix(part.column(1), dim)
                 code = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                sign = np.unpackbits(code, axis=1)[:, :dim].astype(np.float32) * 2 - 1
+                sign = np.unpackbits(code, axis=1)[:, :bits].astype(np.float32) * 2 - 1
                 length = part.column(3).to_numpy(zero_copy_only=False)
                 correction = part.column(4).to_numpy(zero_copy_only=False)
-                scale = length / (correction * math.sqrt(dim))
-                spread = np.sqrt(np.maximum(1 - correction**2, 0)) / correction * length / math.sqrt(max(dim - 1, 1))
+                scale = length / (correction * math.sqrt(bits))
+                spread = np.sqrt(np.maximum(1 - correction**2, 0)) / correction * length / math.sqrt(max(bits - 1, 1))
                 for q0 in range(0, len(queries), QUERY_CHUNK):
                     q1 = min(q0 + QUERY_CHUNK, len(queries))
                     inner = (turned[q0:q1] @ sign.T).astype(np.float64) * scale
@@ -174,8 +179,8 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, center: np.ndarray, seed
                         limit = best.distance[q0:q1, -1] ** 2
                     again = np.isfinite(low) & (low <= limit[:, None] * (1 + 1e-9))
                     rows, cols = np.nonzero(again)
-                    for at in range(0, len(rows), 1 << 17):
-                        r, c = rows[at : at + (1 << 17)], cols[at : at + (1 << 17)]
+                    for at in range(0, len(rows), 1 << 11):
+                        r, c = rows[at : at + (1 << 11)], cols[at : at + (1 << 11)]
                         best.add(q0 + r, ids[c], distances(queries[q0 + r], vectors[c]))
         real = np.isfinite(best.distance)
         which = np.nonzero(real)[0]
