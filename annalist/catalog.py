@@ -1,13 +1,760 @@
-"""Catalogue of the project-history queries."""
+"""Catalogue of the project-history queries over the driver's tables, each with its SQL where SQL can say it.
 
+``documents`` stands for the corpus, ``benchmark`` for questions,
+``conversations`` for comment threads, ``pages`` for raw HTML, ``embeddings`` for
+stored vectors, ``events`` for timestamped records and the order tables for the
+provenance graph.  Every query reads its tables whole.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from annalist import schemas
+from annalist.functions import ids
+from annalist.functions import text as X
+from annalist.operators import chunking, context, embedding, entities, evaluation, graph, parsing, planning, search
+from annalist.plans import answer as answering
+from annalist.plans import build as building
+from annalist.plans import reports
+from annalist.sources import landing, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+AS_OF = "2024-01-01"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# scans, cleaning, parsing
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('en', 'de')")
+def doc_scan_by_type(spark, d):
+    return table(spark, d, "documents").filter(F.col("lang").isin("en", "de")).select("doc_id", "lang", "n_chars")
+
+
+@query(r"""SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id,
+    trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+         ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM pages)""")
+def clean_html(spark, d):
+    text = X.clean_html(F.col("html"))
+    return table(spark, d, "pages").select("page_id", text.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@query(r"""SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '- \[[ xX]\] ', '', 'g'),
+         '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM pages)""")
+def clean_markdown(spark, d):
+    text = X.clean_markdown(F.col("html"))
+    return table(spark, d, "pages").select("page_id", text.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@query(r"""SELECT doc_id, md5(trim(l[1], ' ' || chr(9) || chr(11) || chr(12))) AS subject_md5,
+    length(trim(array_to_string(l[3:], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12))) AS body_chars
+    FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|[\n\r])$', ''), '\r\n|[\n\r]') AS l FROM documents)""")
+def subject_body(spark, d):
+    return table(spark, d, "documents").select(
+        "doc_id", F.md5(X.subject(F.col("text"))).alias("subject_md5"), F.length(X.message_body(F.col("text"))).alias("body_chars")
+    )
+
+
+@query("""SELECT event_id, year(ts) AS year, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events""")
+def iso_ts_parse(spark, d):
+    text = F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    rows = table(spark, d, "events").select("event_id", X.parse_time(text).alias("t"))
+    return rows.select("event_id", F.year("t").cast("long").alias("year"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
+@query("""SELECT s_suppkey AS key, 'class' AS entity_type, 'Supplier' || s_suppkey AS name, 1 AS start_line FROM supplier
+    UNION ALL SELECT s_suppkey, 'function', 'nation_' || s_nationkey, 2 FROM supplier
+    UNION ALL SELECT s_suppkey, 'function', 'key_' || s_suppkey, 5 FROM supplier""")
+def code_entities(spark, d):
+    source = F.format_string(
+        "class Supplier%d:\n    def nation_%d(self):\n        return 1\n\nasync def key_%d(x):\n    return x\n", "s_suppkey", "s_nationkey", "s_suppkey"
+    )
+    rows = table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file_path"), source.alias("source"))
+    found = parsing.code_entities(rows)
+    return found.select(F.regexp_extract("file_path", r"\d+", 0).cast("long").alias("key"), "entity_type", "name", "start_line")
+
+
+_DIFF = (
+    "--- a/b/part%d.py\n+++ b/b/part%d.py\n@@ -%d,3 +%d,4 @@ def f():\n context\n-old %d\n+new\n+newer\n\\ No newline at end of file\n"
+    "@@ -90 +91 @@\n-x\n--- a/other\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-gone\n-gone too\n"
+)
+
+
+def _diffs(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.format_string(_DIFF, "p_partkey", "p_partkey", "p_size", "p_size", "p_size").alias("diff"))
+
+
+_HUNKS = """SELECT p_partkey, 0 AS hunk_index, 'b/part' || p_partkey || '.py' AS file_path, p_size AS old_start, 3 AS old_count,
+    p_size AS new_start, 4 AS new_count, 2 AS n_added, 1 AS n_removed FROM part
+    UNION ALL SELECT p_partkey, 1, 'b/part' || p_partkey || '.py', 90, 1, 91, 1, 0, 1 FROM part
+    UNION ALL SELECT p_partkey, 2, '/dev/null', 1, 2, 0, 0, 0, 2 FROM part"""
+
+
+@query(_HUNKS)
+def diff_hunks(spark, d):
+    h = _diffs(spark, d).select("p_partkey", F.posexplode(parsing.parse_diff(F.col("diff"))).alias("hunk_index", "h"))
+    return h.select(
+        "p_partkey", "hunk_index", *[f"h.{c}" for c in ("file_path", "old_start", "old_count", "new_start", "new_count")],
+        F.size(parsing.added_lines(F.col("h.lines"))).alias("n_added"), F.size(parsing.removed_lines(F.col("h.lines"))).alias("n_removed"),
+    )
+
+
+@query(_HUNKS)
+def diff_hunks_by_windows(spark, d):
+    h = parsing.diff_hunks(_diffs(spark, d), "p_partkey", "diff")
+    return h.select(
+        "p_partkey", "hunk_index", "file_path", "old_start", "old_count", "new_start", "new_count",
+        F.size(parsing.added_lines(F.col("lines"))).alias("n_added"), F.size(parsing.removed_lines(F.col("lines"))).alias("n_removed"),
+    )
+
+
+@query("""SELECT language, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 2 THEN 'cpp'
+    ELSE 'unknown' END AS language FROM part) GROUP BY language""")
+def language_by_extension(spark, d):
+    path = F.concat(F.lit("src/m.d/f"), F.element_at(F.array(*[F.lit(x) for x in (".py", ".TSX", ".hpp", ".zig")]), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return table(spark, d, "part").groupBy(parsing.language(path).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey AS run_id, md5('Run: build ' || o_orderkey || chr(10) || 'Status: ' || o_orderstatus || chr(10) || 'Conclusion: '
+    || CASE WHEN o_orderstatus = 'P' THEN 'None' ELSE 'success' END || chr(10) || 'Event: push' || chr(10) || 'Branch: main' || chr(10)
+    || 'Actor: c' || o_custkey || chr(10) || 'URL: ') AS summary_md5 FROM orders""")
+def ci_summaries(spark, d):
+    runs = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.concat(F.lit("build "), F.col("o_orderkey").cast("string")).alias("name"),
+        F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") != "P", "success").alias("conclusion"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit(None).cast("string").alias("updated_at"), F.lit(None).cast("string").alias("html_url"),
+        F.lit("push").alias("event"), F.lit("main").alias("branch"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("actor"),
+    )
+    return parsing.parse_ci_runs(runs).select("run_id", F.md5("body_clean").alias("summary_md5"))
+
+
+@query("""SELECT DISTINCT 'org' || s_nationkey || '/project' || s_suppkey AS slug FROM supplier""")
+def repo_slugs(spark, d):
+    address = F.when(F.col("s_suppkey") % 2 == 0, F.lit("https://github.com/")).otherwise(F.lit("git@github.com:"))
+    full = F.concat(address, F.format_string("org%d/project%d", "s_nationkey", "s_suppkey"), F.lit(".git"))
+    return table(spark, d, "supplier").select(ids.repo_slug(full).alias("slug")).distinct()
+
+
+@query("""SELECT doc_id, 'm:' || substr(sha256(text), 1, 16) AS cache_key FROM documents""")
+def cache_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", ids.cache_key("m", F.col("text")).alias("cache_key"))
+
+
+@query()
+def point_ids(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", ids.uuid5(F.col("vec_id").cast("string")).alias("point_id"))
+
+
+# chunks
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 1950)) AS s FROM documents)
+    SELECT doc_id, s // 1950 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks,
+           length(substr(text, s + 1, 2000)) AS n_chars, length(substr(text, s + 1, 2000)) // 4 AS est_tokens FROM c""")
+def chunk_char_split(spark, d):
+    return _pieces(spark, d).select("doc_id", "chunk_index", "total_chunks", F.length("text").alias("n_chars"), X.estimate_tokens(F.col("text")).alias("est_tokens"))
+
+
+def _pieces(spark, d):
+    """documents in pieces of 2,000 characters: (chunk_id, doc_id, chunk_index, total_chunks, text)."""
+    parts = X.split_by_chars(F.col("text"), 2000)
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", parts.alias("parts"))
+    return rows.select(
+        "doc_id", "lang", "source", F.size("parts").cast("long").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "text")
+    ).withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE regexp_matches(text, '\\S')),
+    w AS (SELECT a.conv_id, a.p // 2 AS chunk_index, min(b.p) AS first_turn, max(b.p) AS last_turn,
+        md5(string_agg(b.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY b.p)) AS text_md5
+        FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.p BETWEEN a.p AND a.p + 2 WHERE a.p % 2 = 0 GROUP BY a.conv_id, a.p)
+    SELECT * FROM w""")
+def chunk_comment_windows(spark, d):
+    rows = table(spark, d, "conversations").filter(~X.is_blank(F.col("text")))
+    threads = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    w = threads.select("conv_id", F.posexplode(chunking.windows(F.col("t.text"))).alias("chunk_index", "w"))
+    return w.select(
+        "conv_id", "chunk_index", F.col("w.start").alias("first_turn"), (F.col("w.start") + F.size("w.items") - 1).alias("last_turn"),
+        F.md5(F.array_join("w.items", "\n\n---\n\n")).alias("text_md5"),
+    )
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim('[cicd] ' || source || chr(10) || chr(10) || text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents),
+    c AS (SELECT doc_id, t, unnest(CASE WHEN length(t) > 2400 THEN range(0, length(t), 2350) ELSE [0] END) AS s FROM t)
+    SELECT doc_id::varchar AS doc_id, s // 2350 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks,
+           md5(substr(t, s + 1, 2400)) AS text_md5 FROM c""")
+def chunk_log(spark, d):
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("run_id"), F.col("source").alias("name"), F.lit("").alias("actor"), F.col("text").alias("body_clean"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    return chunking.log_chunks(rows, "cicd", as_of=AS_OF).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
+
+
+def _threads(spark, d):
+    """Conversations as Markdown with a heading per turn."""
+    head = F.concat(F.lit("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", head.alias("part"))
+    parts = F.sort_array(F.collect_list(F.struct("turn", "part")))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("body"))
+
+
+@query(r"""WITH b AS (SELECT conv_id, string_agg('## ' || role || ' ' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body
+        FROM conversations GROUP BY conv_id),
+    h AS (SELECT conv_id, body, '[PR #' || conv_id || '] thread' || chr(10) || 'Author: a | State: open | Labels: none' || chr(10) || chr(10) AS head FROM b),
+    s AS (SELECT conv_id, head, body, list_filter(string_split(regexp_replace(body, '(?m)^(#{1,3} )', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) AS parts FROM h),
+    t AS (SELECT conv_id, head || body AS whole, list_transform(parts, lambda p: head || trim(p, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS texts FROM s),
+    u AS (SELECT conv_id, CASE WHEN length(whole) // 4 <= 1000 THEN [whole] ELSE flatten(list_transform(texts, lambda x:
+        CASE WHEN length(x) // 4 > 1000 THEN list_transform(range(0, length(x), 3950), lambda i: substr(x, i + 1, 4000)) ELSE [x] END)) END AS pieces FROM t)
+    SELECT conv_id::varchar AS doc_id, i - 1 AS chunk_index, len(pieces) AS total_chunks, md5(pieces[i]) AS text_md5
+    FROM u, LATERAL (SELECT unnest(range(1, len(pieces) + 1)) AS i)""")
+def chunk_sections(spark, d):
+    none = F.array().cast("array<string>")
+    prs = _threads(spark, d).select(
+        F.col("conv_id").alias("number"), F.lit("thread").alias("title"), F.lit("a").alias("author"), F.lit("open").alias("state"),
+        F.col("body").alias("body_clean"), none.alias("labels"), none.alias("review_comments"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    return chunking.pr_chunks(prs, as_of=AS_OF).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT n_nationkey AS key, 'v' || n_nationkey || '.2.0' AS version, strftime(date '2023-01-01' + n_nationkey::int, '%Y-%m-%d') AS released, 'Added ' || n_name AS body FROM nation
+    UNION ALL SELECT n_nationkey, n_nationkey || '.1', '2022-06-01', '' FROM nation
+    UNION ALL SELECT n_nationkey, 'Unreleased', NULL, 'soon' FROM nation""")
+def changelog_sections(spark, d):
+    day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), F.col("n_nationkey")), "yyyy-MM-dd")
+    text = F.concat(
+        F.lit("Intro\n## Unreleased\nsoon\n\n## v"), F.col("n_nationkey").cast("string"), F.lit(".2.0 - "), day, F.lit("\n\nAdded "), F.col("n_name"),
+        F.lit("\n### "), F.col("n_nationkey").cast("string"), F.lit(".1 (June 1, 2022)\n"),
+    )
+    s = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.explode(parsing.changelog_sections(text)).alias("s"))
+    return s.select("key", "s.version", F.date_format("s.date", "yyyy-MM-dd").alias("released"), "s.body")
+
+
+@query()
+def diff_packing(spark, d):
+    lines = F.transform(X.lines(F.col("text")), lambda x: F.concat(F.when(F.length(x) % 2 == 0, F.lit(" ")).otherwise(F.lit("+")), x))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.pack_lines(lines, F.lit("@@\n"), 400)).alias("piece", "text"))
+    return rows.select("doc_id", "piece", X.estimate_tokens(F.col("text")).alias("tokens"), F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT l_orderkey, count(DISTINCT l_partkey) AS files, sum(l_quantity)::bigint AS insertions, sum(l_linenumber)::bigint AS deletions
+    FROM lineitem GROUP BY l_orderkey""")
+def commit_stats(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey")
+    return rows.agg(
+        F.count_distinct("l_partkey").alias("files"), F.sum("l_quantity").cast("long").alias("insertions"), F.sum("l_linenumber").alias("deletions")
+    )
+
+
+# plans of questions
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) || '-01-01' AS time_start, (year(o_orderdate) + 2) || '-12-31' AS time_end,
+    o_orderpriority AS entity FROM orders""")
+def year_bounds(spark, d):
+    year = F.year("o_orderdate")
+    text = F.concat(F.lit("what happened to \""), F.col("o_orderpriority"), F.lit("\" from "), year.cast("string"), F.lit(" to "), (year + 2).cast("string"), F.lit("?"))
+    rows = planning.plan(table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), text.alias("query")))
+    return rows.select(F.col("query_id").alias("o_orderkey"), "time_start", "time_end", F.get("entities", 0).alias("entity"))
+
+
+@query("""SELECT doc_id, i - 1 AS position, p[i] AS phrase FROM (SELECT doc_id, regexp_extract_all(text, '"([^"]+)"', 1) AS p FROM documents),
+    LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)""")
+def quoted_entities(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.quoted(F.col("text"))).alias("position", "phrase"))
+
+
+@query("""SELECT item_id AS query_id, i - 1 AS position, w[i] AS term FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'),
+    lambda x: x <> '') AS w FROM benchmark WHERE len(regexp_extract_all(text, '"([^"]+)"', 1)) = 0), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)
+    UNION ALL SELECT item_id, i - 1, w[i] FROM (SELECT item_id, regexp_extract_all(text, '"([^"]+)"', 1) AS w FROM benchmark),
+    LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)""")
+def question_terms(spark, d):
+    return planning.search_terms(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+# entities
+
+_TECH = entities.TECH_PATTERN.replace("'", "''")
+_MENTIONS = f"""m AS (SELECT doc_id, i - 1 AS position, f[i] AS surface FROM (SELECT doc_id, regexp_extract_all(text, '{_TECH}', 1) AS f FROM documents),
+    LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)),
+    firsts AS (SELECT doc_id, lower(surface) AS mention, min(position) AS position, arg_min(surface, position) AS surface FROM m GROUP BY doc_id, lower(surface))"""
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, mention, surface, position FROM firsts")
+def tech_mentions(spark, d):
+    return entities.mentions(table(spark, d, "documents")).select("doc_id", "mention", "surface", "position")
+
+
+@query(f"""WITH {_MENTIONS}, c AS (SELECT *, first_value(surface) OVER (PARTITION BY mention ORDER BY doc_id, position) AS canonical_name FROM firsts)
+    SELECT canonical_name, count(DISTINCT doc_id) AS n_docs, count(DISTINCT surface) FILTER (WHERE surface <> canonical_name) AS n_aliases
+    FROM c GROUP BY canonical_name""")
+def entity_canonical(spark, d):
+    registry = entities.register(entities.resolve_exact(entities.mentions(table(spark, d, "documents"))))
+    return registry.select("canonical_name", F.size("doc_ids").cast("long").alias("n_docs"), F.size("aliases").cast("long").alias("n_aliases"))
+
+
+def _parts_registry(spark, d):
+    return table(spark, d, "part").select(
+        F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("canonical_name"), F.array("p_brand").alias("aliases"),
+        F.array("p_type").alias("doc_ids"), F.lit("PART").alias("entity_type"), F.col("p_partkey").alias("seq"),
+    )
+
+
+_TERMS = [(1, "red wid"), (2, "ring small"), (3, "economy brand#2"), (4, "no such thing"), (5, "Blue")]
+_SEARCH = """terms(query_id, term) AS (VALUES {values}),
+    w AS (SELECT query_id, term, list_filter(regexp_split_to_array(lower(regexp_replace(term, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS q FROM terms),
+    e AS (SELECT p_name || ' ' || p_partkey AS canonical_name, p_partkey AS seq, list_filter(regexp_split_to_array(lower(regexp_replace(
+        p_name || ' ' || p_partkey || ' ' || p_brand || ' ' || p_type || ' PART', '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS words FROM part),
+    hits AS (SELECT query_id, term, canonical_name, row_number() OVER (PARTITION BY term ORDER BY seq, canonical_name) - 1 AS rank
+        FROM w, e WHERE len(list_filter(words, lambda x: starts_with(x, q[-1]))) > 0 AND len(list_filter(q[:-2], lambda x: NOT list_contains(words, x))) = 0)""".format(
+    values=", ".join(f"({i}, '{t}')" for i, t in _TERMS)
+)
+
+
+@query(f"WITH {_SEARCH} SELECT term, rank, canonical_name FROM hits WHERE rank < 10")
+def entity_prefix_search(spark, d):
+    return entities.prefix_search(_parts_registry(spark, d), spark.createDataFrame(_TERMS, "query_id int, term string"), 10)
+
+
+@query(f"""WITH {_SEARCH} SELECT w.query_id % 2 AS query_id, array_to_string(list(coalesce(canonical_name, w.term) ORDER BY w.query_id), ';') AS names
+    FROM w LEFT JOIN hits ON hits.query_id = w.query_id AND rank = 0 GROUP BY w.query_id % 2""")
+def entity_resolve_terms(spark, d):
+    terms = spark.createDataFrame([(i % 2, i, t) for i, t in _TERMS], "query_id int, position int, term string")
+    found = entities.resolve_terms(_parts_registry(spark, d), terms)
+    return found.select("query_id", F.array_join("names", ";").alias("names"))
+
+
+@query()
+def fuzzy_entities(spark, d):
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return entities.fuzzy_pairs(names, names, 80.0).select("a", "b", F.round("score", 6).alias("score"))
+
+
+# links and graph
+
+
+@query("""SELECT DISTINCT 'pr:' || o_orderkey || '->issue:' || i || ':mentions' AS link_id, o_orderkey::varchar AS source_id, i::varchar AS target_id
+    FROM (SELECT o_orderkey, unnest([o_custkey, o_orderkey % 1000]) AS i FROM orders) JOIN customer ON c_custkey = i WHERE i % 2 = 0""")
+def link_refs(spark, d):
+    prs = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("number"), F.concat(F.lit("Fix #"), F.col("o_custkey").cast("string")).alias("title"),
+        F.concat(F.lit("see #"), (F.col("o_orderkey") % 1000).cast("string"), F.lit(" and #"), F.col("o_custkey").cast("string")).alias("body"),
+    )
+    issues = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("number"))
+    return graph.pr_issue_links(prs, issues).select("link_id", "source_id", "target_id")
+
+
+@query("""SELECT 'commit:' || md5(o_orderkey::varchar) || '->pr:' || max(l_orderkey * 10 + l_linenumber) || ':merge_commit' AS link_id,
+    max(l_orderkey * 10 + l_linenumber)::varchar AS target_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def link_merge(spark, d):
+    sha = lambda c: F.md5(F.col(c).cast("string"))
+    commits = table(spark, d, "orders").select(sha("o_orderkey").alias("sha"))
+    prs = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("number"), sha("l_orderkey").alias("merge_commit_sha"))
+    return graph.merge_links(commits, prs).select("link_id", "target_id")
+
+
+def _edges(spark, d):
+    def of(rows, st, s, tt, t, relation):
+        return rows.select(
+            F.lit(st).alias("source_type"), F.col(s).cast("string").alias("source_id"), F.lit(tt).alias("target_type"),
+            F.col(t).cast("string").alias("target_id"), F.lit(relation).alias("relation"),
+        )
+
+    return graph.edges(
+        of(table(spark, d, "lineitem"), "order", "l_orderkey", "part", "l_partkey", "references"),
+        of(table(spark, d, "orders"), "order", "o_orderkey", "customer", "o_custkey", "authored_by"),
+        of(table(spark, d, "customer"), "customer", "c_custkey", "nation", "c_nationkey", "mentions"),
+        of(table(spark, d, "nation"), "nation", "n_nationkey", "region", "n_regionkey", "mentions"),
+    )
+
+
+_EDGES = """g AS (SELECT DISTINCT 'order' AS st, l_orderkey::varchar AS s, 'part' AS tt, l_partkey::varchar AS t, 'references' AS relation FROM lineitem
+    UNION SELECT 'order', o_orderkey::varchar, 'customer', o_custkey::varchar, 'authored_by' FROM orders
+    UNION SELECT 'customer', c_custkey::varchar, 'nation', c_nationkey::varchar, 'mentions' FROM customer
+    UNION SELECT 'nation', n_nationkey::varchar, 'region', n_regionkey::varchar, 'mentions' FROM nation),
+    step AS (SELECT st AS ft, s AS f, tt AS type, t AS id, relation, 'out' AS direction FROM g UNION ALL SELECT tt, t, st, s, relation, 'in' FROM g)"""
+
+
+@query(f"WITH {_EDGES} SELECT st || '->' || tt || ':' || relation AS kind, count(*) AS n FROM g GROUP BY 1")
+def edges_dedupe(spark, d):
+    kind = F.concat("source_type", F.lit("->"), "target_type", F.lit(":"), "relation")
+    return _edges(spark, d).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _seeds(spark, d):
+    return table(spark, d, "nation").select(F.lit("nation").alias("seed_type"), F.col("n_nationkey").cast("string").alias("seed_id"))
+
+
+@query(f"WITH {_EDGES} SELECT f AS seed_id, type, id, relation, direction FROM step WHERE ft = 'nation'")
+def graph_neighbors(spark, d):
+    return graph.neighbours(_edges(spark, d), _seeds(spark, d)).drop("seed_type")
+
+
+@query(f"""WITH {_EDGES}, one AS (SELECT DISTINCT f AS seed_id, type, id FROM step WHERE ft = 'customer'),
+    two AS (SELECT DISTINCT o.seed_id, s.type, s.id FROM one o JOIN step s ON s.ft = o.type AND s.f = o.id),
+    far AS (SELECT seed_id, type, id, 1 AS depth FROM one UNION ALL SELECT t.seed_id, t.type, t.id, 2 FROM two t
+        WHERE NOT (t.type = 'customer' AND t.id = t.seed_id) AND NOT EXISTS (SELECT 1 FROM one o WHERE o.seed_id = t.seed_id AND o.type = t.type AND o.id = t.id))
+    SELECT type, depth, count(*) AS n, count(DISTINCT seed_id) AS seeds FROM far GROUP BY type, depth""")
+def graph_khop(spark, d):
+    seeds = table(spark, d, "customer").select(F.lit("customer").alias("seed_type"), F.col("c_custkey").cast("string").alias("seed_id"))
+    far = graph.expand(_edges(spark, d), seeds, 2)
+    return far.groupBy("type", "depth").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed_id").alias("seeds"))
+
+
+@query(f"""WITH {_EDGES}, c AS (SELECT 'customer-' || c_custkey AS chunk_id, 'customer' AS type, c_custkey::varchar AS id FROM customer
+        UNION ALL SELECT 'order-' || o_orderkey, 'order', o_orderkey::varchar FROM orders),
+    q AS (SELECT n_nationkey AS query_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS rank, 'customer-' || c_custkey AS chunk_id,
+        c_custkey::varchar AS id FROM nation JOIN customer ON c_nationkey = n_nationkey QUALIFY rank < 5),
+    via AS (SELECT query_id, c.chunk_id, min(rank) AS via FROM q JOIN step ON ft = 'customer' AND f = q.id JOIN c ON c.type = step.type AND c.id = step.id
+        WHERE NOT EXISTS (SELECT 1 FROM q x WHERE x.query_id = q.query_id AND x.chunk_id = c.chunk_id) GROUP BY query_id, c.chunk_id)
+    SELECT query_id, rank, chunk_id, 'bm25' AS source FROM q UNION ALL
+    SELECT query_id, (SELECT max(rank) FROM q x WHERE x.query_id = v.query_id) + row_number() OVER (PARTITION BY query_id ORDER BY via, chunk_id), chunk_id, 'graph' FROM via v""")
+def graph_expand_chunks(spark, d):
+    customers = table(spark, d, "customer")
+    one = customers.select(F.lit("customer").alias("t"), F.col("c_custkey").cast("string").alias("doc_id"))
+    two = table(spark, d, "orders").select(F.lit("order").alias("t"), F.col("o_orderkey").cast("string").alias("doc_id"))
+    chunks = one.unionByName(two).select(F.concat_ws("-", "t", "doc_id").alias("chunk_id"), F.concat_ws("_", "t", "doc_id").alias("graph_node_id"), "doc_id")
+    first = Window.partitionBy("query_id").orderBy("c_custkey")
+    candidates = (
+        customers.withColumn("query_id", F.col("c_nationkey"))
+        .withColumn("rank", F.row_number().over(first) - 1)
+        .filter("rank < 5")
+        .select("query_id", "rank", F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("chunk_id"), F.lit(1.0).alias("score"), F.lit("bm25").alias("source"))
+    )
+    return graph.expand_candidates(candidates, chunks, _edges(spark, d)).select("query_id", "rank", "chunk_id", "source")
+
+
+# rankers
+
+_COSINE = """round(CASE WHEN list_inner_product(a.v, a.v) * list_inner_product(q.v, q.v) > 0 THEN list_inner_product(a.v, q.v)
+    / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(q.v, q.v))) ELSE 0 END, 9)"""
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("semantic_vector"), "label")
+
+
+def _dense_queries(spark, d):
+    return _vectors(spark, d).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("semantic_vector").alias("query_vector"))
+
+
+def _dense_sql(where: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, a.vec_id AS chunk_id, {_COSINE} AS score FROM e q, e a WHERE q.vec_id % 50 = 0 AND {where}),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank, chunk_id, score FROM s)
+    SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank < 40"""
+
+
+def _shown(ranked):
+    return ranked.withColumn("score", F.round("score", 6))
+
+
+@query(_dense_sql("true"))
+def dense_topk(spark, d):
+    return _shown(search.dense(_vectors(spark, d), _dense_queries(spark, d), 40, digits=9))
+
+
+@query(_dense_sql("a.label IN (1, 3)"))
+def dense_topk_filtered(spark, d):
+    return _shown(search.dense(_vectors(spark, d), _dense_queries(spark, d), 40, F.col("label").isin(1, 3), digits=9))
+
+
+@query("""SELECT count(*) FILTER (WHERE label % 2 = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) AS n_code, count(*) AS n FROM embeddings""")
+def code_vector_zero_fill(spark, d):
+    kind = F.when(F.col("label") % 2 == 0, "diff").otherwise("commit")
+    rows = _vectors(spark, d).select(F.col("chunk_id").cast("string").alias("chunk_id"), kind.alias("doc_type"), F.col("semantic_vector").alias("vector"))
+    return embedding.count_code_vectors(embedding.vector_points(embedding.dual_vectors(rows, dim=64), 64))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_WORDS = f"list_filter(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1), lambda x: x NOT IN ({_STOP}))"
+_INDEX = f"""doc AS (SELECT doc_id AS chunk_id, {_WORDS} AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS al FROM doc),
+    post AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM doc) GROUP BY ALL),
+    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+_BM25 = f"""{_INDEX}, b_s AS (SELECT query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / al))), 9) AS score
+        FROM q JOIN post USING (term) JOIN df USING (term), stats GROUP BY ALL),
+    b AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank, chunk_id, score FROM b_s) WHERE rank < 40)"""
+_FTS = """f_s AS (SELECT query_id, chunk_id, round(-sum(qtf * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / al))), 9) AS score
+        FROM q JOIN post USING (term) JOIN df USING (term), stats GROUP BY query_id, chunk_id
+        HAVING count(*) = (SELECT count(*) FROM q x WHERE x.query_id = q.query_id)),
+    f AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) - 1 AS rank, chunk_id, score FROM f_s) WHERE rank < 40)"""
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _index(spark, d):
+    docs = table(spark, d, "documents")
+    words = X.search_tokens(F.col("text"))
+    terms = search.query_terms(_questions(spark, d), X.search_tokens(F.col("query")))
+    return search.postings(docs, words, "doc_id"), search.corpus_stats(docs, words), terms
+
+
+@query(f"WITH {_BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM b")
+def bm25_topk(spark, d):
+    return _shown(search.bm25(*_index(spark, d), 40, digits=9))
+
+
+@query(f"WITH {_BM25}, {_FTS} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM f")
+def fts_topk(spark, d):
+    return _shown(search.fulltext(*_index(spark, d), 40, digits=9))
+
+
+def _stemmed_fts(spark, d):
+    docs = table(spark, d, "documents")
+    terms = X.fulltext_tokens(F.col("text"))
+    post = search.stemmed(search.postings(docs, terms, "doc_id"))
+    return search.fulltext(post, search.corpus_stats(docs, terms), answering.stemmed_terms(_questions(spark, d)), 20, digits=9)
+
+
+@query()
+def fts_stemmed_topk(spark, d):
+    return _shown(_stemmed_fts(spark, d))
+
+
+_RRF = f"""{_BM25}, {_FTS},
+    u AS (SELECT query_id, chunk_id, rank, 0 AS turn FROM b UNION ALL SELECT query_id, chunk_id, rank, 1 FROM f),
+    s AS (SELECT query_id, chunk_id, coalesce(0.7::double / (60 + min(rank) FILTER (WHERE turn = 0) + 1), 0::double)
+              + coalesce(0.6::double / (60 + min(rank) FILTER (WHERE turn = 1) + 1), 0::double) AS score, min((turn, rank)) AS first FROM u GROUP BY ALL),
+    fused AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) - 1 AS rank, chunk_id, score,
+        CASE WHEN first[1] = 0 THEN 'bm25' ELSE 'fts' END AS source FROM s) WHERE rank < 40)"""
+
+
+def _fused(spark, d):
+    index = _index(spark, d)
+    return search.fuse({"bm25": search.bm25(*index, 40, digits=9), "fts": search.fulltext(*index, 40, digits=9)}, 40)
+
+
+@query(f"WITH {_RRF} SELECT query_id, rank, chunk_id, round(score, 9) AS score, source FROM fused")
+def rrf_fusion(spark, d):
+    return _fused(spark, d).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_RRF} SELECT query_id, rank, chunk_id FROM fused WHERE rank < 12")
+def rerank_fallback(spark, d):
+    return context.rerank(_fused(spark, d), 12).select("query_id", "rank", "chunk_id")
+
+
+_BLOCKS = f"""{_RRF}, blocks AS (SELECT query_id, rank, '[' || source_ || '] [' || chunk_id || '] [] [' || lang || ']' || chr(10) || text || chr(10) AS block
+        FROM fused JOIN (SELECT doc_id AS chunk_id, source AS source_, lang, text FROM documents) USING (chunk_id)),
+    budget AS (SELECT *, sum(greatest(1, length(block) // 4)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM blocks)"""
+
+
+def _blocks(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_type"), "lang", "text")
+    rows = search.hydrate(_fused(spark, d), docs)
+    return rows.withColumn("block", context.block(F.col("doc_type"), F.col("chunk_id"), F.lit(None), F.col("lang"), F.col("text")))
+
+
+@query(f"WITH {_BLOCKS} SELECT query_id, count(*) AS n_chunks, max(used)::bigint AS used_tokens, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5 FROM budget WHERE used <= 3000 GROUP BY query_id")
+def context_budget(spark, d):
+    return context.assemble(_blocks(spark, d)).select("query_id", "n_chunks", "used_tokens", F.md5("context").alias("context_md5"))
+
+
+@query(f"WITH {_BLOCKS} SELECT query_id, rank, split_part(substr(block, 2), ']', 1) || ':' || split_part(split_part(block, '[', 3), ']', 1) AS ref FROM budget WHERE used <= 3000")
+def evidence_refs(spark, d):
+    refs = context.assemble(_blocks(spark, d)).select("query_id", F.posexplode(context.evidence(F.col("context"))).alias("rank", "ref"))
+    return refs.select("query_id", F.col("rank").cast("long").alias("rank"), "ref")
+
+
+@query(f"WITH {_RRF} SELECT query_id, rank, chunk_id, round(score, 4) AS score, md5(substr(text, 1, 200)) AS snippet_md5 FROM fused JOIN documents ON doc_id = chunk_id")
+def evidence_snippets(spark, d):
+    rows = search.hydrate(_fused(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return rows.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), F.md5(context.snippet(F.col("text"))).alias("snippet_md5"))
+
+
+# answers
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS decision, 'k=' || regexp_extract(props, '(\\d+)', 1) AS rationale FROM events""")
+def decision_memo_json(spark, d):
+    rows = table(spark, d, "events")
+    body = F.concat(
+        F.lit('Here it is: {"decision": "'), F.col("event_type"), F.lit('", "context": "c", "rationale": "k='), F.regexp_extract("props", r"(\d+)", 1),
+        F.lit('", "evidence": ["a"]} done'),
+    )
+    parsed = context.memo(body)
+    kept = F.when(parsed["decision"] != "error", parsed["decision"])
+    return rows.select("event_id", kept.alias("decision"), parsed["rationale"].alias("rationale"))
+
+
+# state
+
+
+@query("""SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type""")
+def doc_upsert_last_wins(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return sinks.upsert(rows.filter("event_id % 3 = 0"), rows, ["user_id", "event_type"], F.col("event_id"))
+
+
+@query("""WITH o AS (SELECT user_id, max(event_id) AS a, max(value) AS b FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+    n AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE min(event_id) END AS a, NULL::double AS b FROM events WHERE user_id % 2 = 0 GROUP BY user_id)
+    SELECT user_id, coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b FROM o FULL JOIN n USING (user_id)""")
+def checkpoint_merge(spark, d):
+    rows = table(spark, d, "events")
+    old = rows.filter("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("a"), F.max("value").alias("b"))
+    new = rows.filter("user_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("x")).select(
+        "user_id", F.when(F.col("user_id") % 3 != 0, F.col("x")).alias("a"), F.lit(None).cast("double").alias("b")
+    )
+    return sinks.merge_checkpoint(old, new, "user_id")
+
+
+@query("""SELECT event_id AS sha FROM events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM events WHERE event_id = 700) ORDER BY ts DESC, event_id DESC LIMIT 500""")
+def incremental_since(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("sha"), F.col("ts").alias("authored_at"))
+    return landing.since(rows, 700, 500).select("sha")
+
+
+@query("""WITH k AS (SELECT DISTINCT sha256(text) AS h FROM documents), c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang = 'en')
+    SELECT count(*) AS distinct_texts, count(*) FILTER (WHERE h NOT IN (SELECT h FROM c)) AS misses FROM k""")
+def embedding_cache_misses(spark, d):
+    rows = table(spark, d, "documents").withColumn("cache_key", ids.cache_key("m", F.col("text")))
+    misses = embedding.cache_misses(rows, rows.filter("lang = 'en'").select("cache_key").distinct()).agg(F.count(F.lit(1)).alias("misses"))
+    return rows.agg(F.count_distinct("cache_key").alias("distinct_texts")).crossJoin(misses)
+
+
+@query("""SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_type <> 'view' GROUP BY ALL""")
+def chunk_store_keep_last(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"), "event_id")
+    return landing.keep_last(rows, ["user_id", "event_type"], F.col("event_id"))
+
+
+@query("""SELECT s.st || ':' || s.tt AS kind, count(*) AS n FROM (SELECT DISTINCT 'order' AS st, l_orderkey AS a, 'part' AS tt, l_partkey AS b FROM lineitem) s GROUP BY 1""")
+def edge_insert_or_ignore(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    out = sinks.insert_missing(rows.filter("l_orderkey % 2 = 0").distinct(), rows, ["l_orderkey", "l_partkey"])
+    return out.agg(F.count(F.lit(1)).alias("n")).select(F.lit("order:part").alias("kind"), "n")
+
+
+@query("""SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type""")
+def stream_ingest(spark, d):
+    """The table's rows as a file stream, upserted batch by batch."""
+    import uuid
+
+    from annalist.streaming import ingest
+
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir'))}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events")
+    # a stream reads folders: the single file is landed in one first
+    rows.select("user_id", "event_type", "event_id").repartition(3, "event_id").write.parquet(f"{base}/landing")
+    stream = spark.readStream.schema("user_id long, event_type string, event_id long").option("maxFilesPerTrigger", 2).parquet(f"{base}/landing")
+    ingest.upsert_stream(stream, f"{base}/table", ["user_id", "event_type"], f"{base}/progress", "event_id").awaitTermination()
+    whole = sinks.current(spark, f"{base}/table")
+    return whole.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+
+
+# evaluation
+
+
+@query("""WITH c AS (SELECT doc_id FROM documents) SELECT qa_type, count(*) AS n FROM c, (VALUES ('standard'), ('temporal'), ('multihop')) t(qa_type) GROUP BY qa_type
+    UNION ALL SELECT 'adversarial', greatest(1, count(*) // 10) FROM c""")
+def qa_dataset_dry_run(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return evaluation.qa_dataset(rows).groupBy("qa_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT sum(CASE WHEN y THEN 1 ELSE 0 END) / greatest(1, count(*)) AS temporal_accuracy FROM
+    (SELECT year(o_orderdate) = 1990 + o_custkey % 12 AS y FROM orders WHERE o_orderkey % 2 = 0)""")
+def temporal_accuracy(spark, d):
+    answer = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("In "), (F.col("o_custkey") % 12 + 1990).cast("string"), F.lit(".")))
+    times = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, d, "orders").agg(evaluation.temporal_accuracy(answer, times).alias("temporal_accuracy"))
+
+
+@query("""SELECT sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) / greatest(1, count(*)) AS multihop_coverage FROM
+    (SELECT conv_id, count(DISTINCT role) FILTER (WHERE role <> '') AS n FROM conversations GROUP BY conv_id)""")
+def multihop_coverage(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    return rows.agg(evaluation.multihop_coverage(F.col("roles")).alias("multihop_coverage"))
+
+
+@query("""WITH n AS (SELECT list_filter(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1), lambda w: regexp_matches(w, '^([A-Z][a-zA-Z0-9_]{2,}|[A-Z]{2,})$')) AS names FROM documents)
+    SELECT sum(CASE WHEN len(list_intersect(list_transform(names, lambda x: lower(x)), ['the', 'und', 'elle', 'que'])) > 0 THEN 1 ELSE 0 END)
+        / greatest(1, count(*)) AS entity_consistency FROM n WHERE len(names) > 0""")
+def entity_consistency(spark, d):
+    tags = F.array(F.array(F.lit("The"), F.lit("und")), F.array(F.lit("Elle"), F.lit("QUE"), F.lit("")))
+    return table(spark, d, "documents").agg(evaluation.entity_consistency(F.col("text"), tags).alias("entity_consistency"))
+
+
+# reports
+
+
+@query("""SELECT l_partkey::varchar AS path, count(DISTINCT l_orderkey) AS commits, count(DISTINCT o_custkey) AS authors
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey""")
+def churn_report(spark, d):
+    return reports.churn(_order_commits(spark, d)).select("path", "commits", "authors")
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey, l_partkey::varchar AS path FROM lineitem)
+    SELECT x.path AS a, y.path AS b, count(*) AS commits FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.path < y.path GROUP BY ALL""")
+def co_change_report(spark, d):
+    return reports.co_changes(_order_commits(spark, d))
+
+
+def _order_commits(spark, d):
+    paths = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sha")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("file_paths"))
+    head = table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("timestamp"))
+    return paths.join(head, "sha")
+
+
+# the whole way
+
+def _corpus_tables(spark, d):
+    docs = table(spark, d, "documents")
+    releases = docs.select(
+        F.col("doc_id").cast("string").alias("tag"), F.lit(None).cast("string").alias("tag_name"), F.lit(None).cast("string").alias("name"),
+        F.col("text").alias("body"), F.lit(None).cast("string").alias("created_at"), F.lit(None).cast("string").alias("published_at"),
+        F.lit("2024-01-02T03:04:05Z").alias("timestamp"),
+    )
+    chunks = chunking.release_chunks(parsing.parse_releases(releases), "corpus", AS_OF)
+    return {"chunks": chunks, **building.build_indexes(chunks)}
+
+
+@query()
+def hybrid_answer(spark, d):
+    """Questions through retrieval with all four rankers, expansion, rerank and context."""
+    tables = _corpus_tables(spark, d)
+    embed = embedding.hashing_embedder(64)
+    vectors = embedding.embed_texts(tables["chunks"].select("chunk_id", "doc_type", "text"), embed, dim=64)
+    tables["vectors"] = embedding.dual_vectors(vectors, dim=64)
+    tables["edges"] = spark.createDataFrame([], schemas.EDGE)
+    out = answering.answer(tables, _questions(spark, d), embedder=embed, dim=64)["answers"]
+    return out.select("query_id", "n_chunks", "used_tokens", F.size("evidence").alias("n_evidence"), F.md5("context").alias("context_md5"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused ranking of the corpus for every question, with what is shown as evidence."""
+    rows = search.hydrate(_fused(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return rows.select("query_id", "rank", "chunk_id", "source", F.round("score", 6).alias("score"), context.snippet(F.col("text")).alias("snippet"))
 
-def oracle_sql():
-    return {}

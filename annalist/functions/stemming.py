@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STEP2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "logi": "log", "bli": "ble",
@@ -88,6 +89,6 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_words(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")

@@ -280,6 +280,6 @@ def log_chunks(rows: DataFrame, doc_type: str, repo: str = "", as_of: str = "197
         F.col("created_at").alias("timestamp"),
         first("actor", "author").alias("author"),
         _empty().alias("file_paths"),
-        F.transform(log_pieces(F.lit(doc_type), first("title", "name"), F.coalesce("body_clean", F.lit(""))), piece).alias("pieces"),
+        F.transform(log_pieces(F.lit(doc_type), first("title", "name"), F.coalesce("body_clean", F.lit(""))), lambda t: piece(t)).alias("pieces"),
     )
     return finish(made, repo, as_of)

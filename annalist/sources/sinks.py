@@ -24,17 +24,23 @@ def to_documents(records: DataFrame, doc_type: str) -> DataFrame:
     return records.select(F.lit(doc_type).alias("doc_type"), doc_id.cast("string").alias("doc_id"), F.to_json(F.struct("*")).alias("payload"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """Union of two tables with the last row of every key: new before old, then by ``order``."""
+def upsert(
+    old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None, order_first: bool = False
+) -> DataFrame:
+    """Union of two tables with the last row of every key.
+
+    A new row replaces an old one, and of several new ones the last by ``order``
+    stays; with ``order_first`` the order decides between old and new as well
+    (for batches that may come out of turn).
+    """
     rest = [c for c in old.columns if c not in keys]
     turn = F.lit(0) if order is None else order
-    both = old.withColumns({"_batch_": F.lit(0), "_turn_": F.lit(None)}).unionByName(
-        new.select(*old.columns, F.lit(1).alias("_batch_"), turn.alias("_turn_"))
+    both = old.withColumns({"_batch_": F.lit(0), "_turn_": turn}).unionByName(
+        new.select(*old.columns).withColumns({"_batch_": F.lit(1), "_turn_": turn})
     )
-    row = F.struct(*rest)
-    return both.groupBy(*keys).agg(F.max_by(row, F.struct("_batch_", "_turn_")).alias("_row_")).select(
-        *keys, *[F.col(f"_row_.{c}").alias(c) for c in rest]
-    ).select(*old.columns)
+    rank = F.struct("_turn_", "_batch_") if order_first else F.struct("_batch_", "_turn_")
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row_"))
+    return last.select(*keys, *[F.col(f"_row_.{c}").alias(c) for c in rest]).select(*old.columns)
 
 
 def merge_checkpoint(old: DataFrame, new: DataFrame, key: str = "repo") -> DataFrame:

@@ -34,6 +34,6 @@ def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str,
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = batch.limit(0)
-        sinks.replace(spark, sinks.upsert(old, batch, keys, turn), path)
+        sinks.replace(spark, sinks.upsert(old, batch, keys, turn, order_first=order is not None), path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
