@@ -134,7 +134,7 @@ def resolve_fuzzy(surfaces: DataFrame, cutoff: float = 85.0) -> DataFrame:
             out.append((surface, name))
         return pd.DataFrame(out, columns=["surface", "canonical_name"])
 
-    return surfaces.groupBy(F.lit(0)).applyInPandas(fold, "surface string, canonical_name string")
+    return surfaces.withColumn("_all_", F.lit(0)).groupBy("_all_").applyInPandas(fold, "surface string, canonical_name string")
 
 
 def register(resolved: DataFrame) -> DataFrame:
