@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.common import materialise
+
 LEADING = 3
 SIMILAR = 0.5
 MIN_DOCS = 3
-_SPACE = "[\\x20\\x09-\\x0D]+"
-_VARIABLE = "[0-9@]|://"
 WILD = "<*>"
+_GAP = r"[\x20\x09-\x0D]"
+_CHAR = r"[^\x20\x09-\x0D]"
+_VARIABLE = rf"(?<!{_CHAR}){_CHAR}*(?:[0-9@]|://){_CHAR}*"
+
+
+def _masked(line: Column) -> Column:
+    """A line's tokens, one space between, those that vary by nature (digits, addresses) generalised."""
+    spaced = F.regexp_replace(F.regexp_replace(line, f"{_GAP}+", " "), r"\A | \z", "")
+    return F.regexp_replace(spaced, _VARIABLE, WILD)
+
 
+def _leaf(line: Column, leading: int) -> Column:
+    """Hash of the way down the tree: number of tokens, then the first ones."""
+    lead = F.regexp_extract(line, rf"\A{_GAP}*((?:{_CHAR}+{_GAP}+){{0,{leading - 1}}}{_CHAR}+)", 1)
+    return F.xxhash64(F.regexp_count(line, F.lit(f"{_CHAR}+")), _masked(lead))
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, fields that vary by nature (digits, addresses) already generalised."""
-    tokens = F.filter(F.split(line, _SPACE), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike(_VARIABLE), F.lit(WILD)).otherwise(t))
+
+def _of_lines(make) -> Column:
+    """``make`` of the text's lines, which are split once, not for each use inside."""
+    return F.element_at(F.transform(F.array(F.split("text", "\n")), make), 1)
 
 
 def line_dedup(
@@ -52,12 +66,11 @@ def line_dedup(
         "version", F.xxhash64("text")
     )
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    path = F.struct(F.size("tokens").alias("n"), F.slice("tokens", 1, leading).alias("lead"))
-    lines = (
+    lines = materialise(
         known.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("tokens", _tokens(F.col("line")))
-        .filter(F.size("tokens") > 0)
-        .select("doc_id", "version", "at", F.xxhash64(path).alias("leaf"))
+        .filter(F.col("line").rlike(_CHAR))
+        .select("doc_id", "version", "at", _leaf(F.col("line"), leading).alias("leaf")),
+        "lines",
     )
     shared = (
         lines.groupBy("leaf")
@@ -65,22 +78,23 @@ def line_dedup(
         .filter((F.col("lo") < F.col("hi")) & (F.col("n") >= min_docs))
         .select("leaf")
     )
-    looked_at = lines.join(shared, "leaf").groupBy("doc_id", "version").agg(F.collect_list("at").alias("ats"))
-    placed = rows.join(looked_at, ["doc_id", "version"], "left")
-
-    found = (
-        placed.filter("ats IS NOT NULL")
-        .withColumn("lines", F.split("text", "\n"))
-        .select("doc_id", "version", F.explode("ats").alias("at"), "lines")
-        .select("doc_id", "version", "at", _tokens(F.get("lines", F.col("at"))).alias("tokens"))
-        .withColumn("leaf", F.xxhash64(path))
-        .withColumn("variant", F.xxhash64("tokens"))
+    looked_at = (
+        lines.join(shared, "leaf").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "leaf")).alias("ats"))
     )
+
+    def marked(lines: Column) -> Column:
+        def one(x: Column) -> Column:
+            return F.struct(x["at"].alias("at"), x["leaf"].alias("leaf"), _masked(F.get(lines, x["at"])).alias("masked"))
+
+        return F.transform("ats", one)
+
+    found = known.join(looked_at, ["doc_id", "version"]).select("doc_id", "version", F.inline(_of_lines(marked)))
     variants = (
-        found.groupBy("leaf", "variant", "doc_id")
-        .agg(F.first("tokens").alias("tokens"))
-        .groupBy("leaf", "variant")
-        .agg(F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens"))
+        found.select("leaf", "masked", "doc_id")
+        .distinct()
+        .groupBy("leaf", "masked")
+        .agg(F.count(F.lit(1)).alias("docs"))
+        .select("leaf", "docs", F.xxhash64("masked").alias("variant"), F.split("masked", " ").alias("tokens"))
     )
     votes = (
         variants.select("leaf", "docs", F.posexplode("tokens").alias("position", "token"))
@@ -105,7 +119,9 @@ def line_dedup(
         "variant",
         F.when(agreeing >= F.size("tokens") * F.lit(similar), F.lit(0)).otherwise(F.col("variant")).alias("template"),
     )
-    members = found.drop("tokens").join(named, ["leaf", "variant"])
+    members = found.select("doc_id", "version", "at", "leaf", F.xxhash64("masked").alias("variant")).join(
+        named, ["leaf", "variant"]
+    )
     place = F.struct("doc_id", "at", "version")
     recurring = (
         members.groupBy("leaf", "template", "doc_id")
@@ -118,19 +134,32 @@ def line_dedup(
     if keep_first:
         gone = gone.filter(place != F.col("first"))
     dropped = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(F.transform("lines", lambda x, i: F.when(~F.array_contains("dropped", i), x)), lambda x: x.isNotNull())
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    judged = known.join(dropped, ["doc_id", "version"], "left").select(
+        "doc_id",
+        "dropped",
+        F.size(F.split("text", "\n")).alias("n_lines"),
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(_of_lines(kept)).alias("kept_text"),
+    )
+    whole = rows.filter("doc_id IS NULL OR text IS NULL").select(
+        "doc_id",
+        F.lit(None).cast("array<int>").alias("dropped"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"),
+        F.coalesce("text", F.lit("")).alias("kept_text"),
+    )
     return (
-        placed.join(dropped, ["doc_id", "version"], "left")
-        .withColumn("lines", split)
+        judged.select(whole.columns)
+        .unionByName(whole)
         .select(
             "doc_id",
-            F.size("lines").cast("long").alias("n_lines"),
+            F.col("n_lines").cast("long").alias("n_lines"),
             F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
             F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
-            F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit("")))
-            .otherwise(F.array_join(kept, "\n"))
-            .alias("kept_text"),
+            "kept_text",
         )
     )
 
