@@ -35,6 +35,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of ``docs``.
+
+    Columns that have these names and types already are passed as they are: an
+    alias would make two uses of one shuffle look like two different ones.
+    """
+    kinds = dict(docs.dtypes)
+    doc_id = F.col(id_col) if (id_col, kinds[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
+    text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")
+    return docs.select(doc_id, text)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import materialise
+from annalist.llm.common import id_and_text, materialise
 
 LEADING = 3
 SIMILAR = 0.5
@@ -62,7 +62,7 @@ def line_dedup(
     with one text share one fate, with two texts are told apart; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
+    rows = id_and_text(docs, id_col, text_col).withColumn(
         "version", F.xxhash64("text")
     )
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
