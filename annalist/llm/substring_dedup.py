@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.common import id_and_text, materialise
 from annalist.llm.textnum import IDENTITY, SPACE_SEP, Words, inside, text_chunks, window_hashes
 
 WINDOW = 50
@@ -199,9 +200,10 @@ def substring_dedup(
     one document; an empty table gives no rows; other columns are ignored.
     Hashes have 64 bits: N windows meet a false match with a chance of N*N/2**65.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
+    known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     run, schema = _anchors(window, anchor)
-    anchors = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
+    anchors = materialise(known.mapInArrow(run, schema), "anchors")
     shared = (
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -209,9 +211,8 @@ def substring_dedup(
         .select("anchor")
     )
     by_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    placed = rows.join(by_doc, "doc_id", "left")
     run, schema = _candidates(window, anchor)
-    owners = placed.filter("shared IS NOT NULL").select("doc_id", "text", "shared").mapInArrow(run, schema)
+    owners = known.join(by_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(run, schema)
     own = (
         owners.groupBy("hash")
         .agg(F.min("doc_id").alias("doc_id"))
@@ -219,7 +220,10 @@ def substring_dedup(
         .agg(F.collect_list("hash").alias("own"))
     )
     run, schema = _removal(window, anchor)
-    return placed.join(own, "doc_id", "left").select("doc_id", "text", "shared", "own").mapInArrow(run, schema)
+    judged = known.join(by_doc, "doc_id", "left").join(own, "doc_id", "left").select("doc_id", "text", "shared", "own")
+    none = F.lit(None).cast("array<long>")
+    whole = rows.filter("doc_id IS NULL OR text IS NULL").select("doc_id", "text", none.alias("shared"), none.alias("own"))
+    return judged.mapInArrow(run, schema).unionByName(whole.mapInArrow(run, schema))
 
 
 def digest(result: DataFrame) -> DataFrame:
