@@ -391,14 +391,14 @@ def _edges(spark, d):
 
     return graph.edges(
         of(table(spark, d, "lineitem"), "order", "l_orderkey", "part", "l_partkey", "references"),
-        of(table(spark, d, "orders"), "order", "o_orderkey", "customer", "o_custkey", "authored_by"),
+        of(table(spark, d, "orders"), "order", "o_orderkey", "customer", "o_custkey", "follow_up"),
         of(table(spark, d, "customer"), "customer", "c_custkey", "nation", "c_nationkey", "mentions"),
         of(table(spark, d, "nation"), "nation", "n_nationkey", "region", "n_regionkey", "mentions"),
     )
 
 
 _EDGES = """g AS (SELECT DISTINCT 'order' AS st, l_orderkey::varchar AS s, 'part' AS tt, l_partkey::varchar AS t, 'references' AS relation FROM lineitem
-    UNION SELECT 'order', o_orderkey::varchar, 'customer', o_custkey::varchar, 'authored_by' FROM orders
+    UNION SELECT 'order', o_orderkey::varchar, 'customer', o_custkey::varchar, 'follow_up' FROM orders
     UNION SELECT 'customer', c_custkey::varchar, 'nation', c_nationkey::varchar, 'mentions' FROM customer
     UNION SELECT 'nation', n_nationkey::varchar, 'region', n_regionkey::varchar, 'mentions' FROM nation),
     step AS (SELECT st AS ft, s AS f, tt AS type, t AS id, relation, 'out' AS direction FROM g UNION ALL SELECT tt, t, st, s, relation, 'in' FROM g)"""
@@ -699,7 +699,7 @@ def multihop_coverage(spark, d):
     return rows.agg(evaluation.multihop_coverage(F.col("roles")).alias("multihop_coverage"))
 
 
-@query("""WITH n AS (SELECT list_filter(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1), lambda w: regexp_matches(w, '^([A-Z][a-zA-Z0-9_]{2,}|[A-Z]{2,})$')) AS names FROM documents)
+@query("""WITH n AS (SELECT list_filter(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1), lambda w: regexp_matches(w, '^[A-Z](?:\\w{2,}|[A-Z]+)$')) AS names FROM documents)
     SELECT sum(CASE WHEN len(list_intersect(list_transform(names, lambda x: lower(x)), ['the', 'und', 'elle', 'que'])) > 0 THEN 1 ELSE 0 END)
         / greatest(1, count(*)) AS entity_consistency FROM n WHERE len(names) > 0""")
 def entity_consistency(spark, d):

@@ -65,7 +65,7 @@ def references(*texts: Column) -> Column:
 
 
 def years(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(19\d{2}|20\d{2})\b"), 1)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b((?:19|20)[0-9]{2})\b"), 1)
 
 
 def quoted(text: Column) -> Column:
@@ -108,11 +108,11 @@ def split_by_chars(text: Column, size: Column | int, overlap: int = 50) -> Colum
     return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
-HEADING_DATE = r"(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\w+ \d{1,2},? \d{4})"
+HEADING_DATE = r"([0-9]{4}([-/])[0-9]{2}\2[0-9]{2}|\w+ [0-9]{1,2},? [0-9]{4})"
 
 
 def heading_version(heading: Column) -> Column:
-    found = F.regexp_extract(heading, r"v?\d+\.\d+[.\d]*", 0)
+    found = F.regexp_extract(heading, r"v?[0-9]+[.][0-9]+[.0-9]*", 0)
     word = F.regexp_extract(F.regexp_replace(heading, r"\A[# ]+|[# ]+\z", ""), r"\S+", 0)
     return F.when(found != "", found).otherwise(word)
 

@@ -80,7 +80,7 @@ def assemble(rows: DataFrame, budget: int = BUDGET, order_by: str = "rank") -> D
 def evidence(context: Column) -> Column:
     """type:id of the context's header lines, distinct in order."""
     heads = F.filter(F.split(context, "\n"), lambda x: x.startswith("["))
-    parts = F.transform(heads, lambda x: F.regexp_extract_all(x, F.lit(r"\[([^\]]+)\]"), 1))
+    parts = F.transform(heads, lambda x: F.regexp_extract_all(x, F.lit(r"\[([^\]]++)[\]]"), 1))
     full = F.filter(parts, lambda p: F.size(p) >= 2)
     return F.array_distinct(F.transform(full, lambda p: F.concat(F.get(p, 0), F.lit(":"), F.get(p, 1))))
 

@@ -21,10 +21,8 @@ TECHNOLOGIES = (
 TECH_PATTERN = r"(?i)\b(" + "|".join(TECHNOLOGIES) + r")\b"
 
 #: Labels of a named-entity model to ours; others pass through.
-LABELS = {
-    "PERSON": "PERSON", "ORG": "ORG", "PRODUCT": "TECH", "GPE": "PLACE", "LOC": "PLACE", "EVENT": "CONCEPT",
-    "WORK_OF_ART": "CONCEPT", "LAW": "CONCEPT",
-}
+_GIVEN = {"CONCEPT": "EVENT LAW WORK_OF_ART", "PLACE": "GPE LOC", "TECH": "PRODUCT"}
+LABELS = {theirs: ours for ours, names in _GIVEN.items() for theirs in names.split()}
 
 
 def tech_mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ def multihop_coverage(doc_types: Column) -> Column:
 def entity_consistency(answer: Column, entity_tags: Column) -> Column:
     """Of the answers with capitalised names, the share that shares one with its context's entity tags (lists of lists)."""
     words = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    names = F.filter(words, lambda w: w.rlike(r"\A([A-Z][a-zA-Z0-9_]{2,}|[A-Z]{2,})\z"))
+    names = F.filter(words, lambda w: w.rlike(r"\A[A-Z](?:\w{2,}|[A-Z]+)\z"))
     low = F.transform(names, F.lower)
     tags = F.transform(F.filter(F.flatten(entity_tags), lambda t: F.coalesce(t, F.lit("")) != ""), F.lower)
     return _ratio(F.arrays_overlap(low, tags), F.size(names) > 0)

@@ -66,7 +66,7 @@ def _directed(graph: DataFrame, direction: str, relation: str | None) -> DataFra
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def neighbours(graph: DataFrame, nodes: DataFrame, direction: str = "both", relation: str | None = None) -> DataFrame:
+def neighbours(graph: DataFrame, nodes: DataFrame, relation: str | None = None, direction: str = "both") -> DataFrame:
     """(seed_type, seed_id, type, id, relation, direction); ``nodes`` has seed_type and seed_id."""
     steps = _directed(graph, direction, relation)
     return steps.join(nodes, (F.col("from_type") == F.col("seed_type")) & (F.col("from_id") == F.col("seed_id"))).select(

@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions import text as X
 
-HUNK_HEAD = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
+HUNK_HEAD = r"^@@ -([0-9]+)(?:,([0-9]+))? [+]([0-9]+)(?:,([0-9]+))? @@"
 
-EXTENSIONS = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go",
-    ".rs": "rust", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".rb": "ruby", ".php": "php",
-}
+_LANGUAGES = "c=.c .h; cpp=.cpp .hpp; go=.go; java=.java; javascript=.js .jsx; php=.php; python=.py; ruby=.rb; rust=.rs; tsx=.tsx; typescript=.ts"
+EXTENSIONS = {end: name for name, ends in (x.split("=") for x in _LANGUAGES.split("; ")) for end in ends.split()}
 
 
 def payloads(documents: DataFrame, doc_type: str) -> DataFrame:
@@ -150,10 +148,10 @@ def code_entities(sources: DataFrame, path: str = "file_path", text: str = "sour
     arrow functions.  ``entity_order`` lists functions before classes, as found.
     """
     rules = [
-        ("python", 0, "function", r"^ *(?:async )?def (\w+)\s*\("),
-        ("python", 1, "class", r"^ *class (\w+)(?:[\s:(]|$)"),
-        ("script", 0, "function", r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("),
-        ("script", 1, "function", r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\("),
+        ("python", 0, "function", r"^[ ]*(?:async[ ])?def[ ](\w+)\s*[(]"),
+        ("python", 1, "class", r"^[ ]*class[ ](\w+)(?:[(:\s]|$)"),
+        ("script", 0, "function", r"^(?:(?:export|async)\s+){0,2}function\s+(\w+)\s*[(]"),
+        ("script", 1, "function", r"^(?:export\s+)?(?:var|let|const)\s+(\w+)[ \t]*=[ \t]*(?:async)?[ \t]*[(]"),
     ]
     family = F.when(F.col("language") == "python", "python").when(
         F.col("language").isin("javascript", "typescript"), "script"
@@ -279,7 +277,7 @@ def parse_graphql_prs(prs: DataFrame) -> DataFrame:
 
 def changelog_sections(text: Column) -> Column:
     """Version sections (heading, body, version, date) of a changelog, as an array."""
-    heading = r"^(#{1,3} .*(?:v?\d+\.\d+[.\d]*|[uU][nN][rR][eE][lL][eE][aA][sS][eE][dD]).*)"
+    heading = r"^(#{1,3} .*(?:[0-9][.][0-9]|[uU][nN][rR][eE][lL][eE][aA][sS][eE][dD]).*)"
     parts = F.filter(F.split(text, f"(?m)(?={heading})"), lambda p: p.rlike(heading))
 
     def section(part: Column) -> Column:

@@ -17,9 +17,9 @@ from annalist.functions import vectors as V
 from annalist.functions.stemming import stem_words
 
 SOURCES = ("qdrant_semantic", "qdrant_code", "bm25", "fts")
-WEIGHTS = {"qdrant_semantic": 1.0, "qdrant_code": 0.8, "bm25": 0.7, "fts": 0.6}
+WEIGHTS = dict(zip(SOURCES, (1.0, 0.8, 0.7, 0.6), strict=True))
 #: Weight of a source that a caller's own map leaves out.
-DEFAULTS = {"qdrant_semantic": 1.0, "qdrant_code": 1.0, "bm25": 0.7, "fts": 0.6}
+DEFAULTS = WEIGHTS | {SOURCES[1]: 1.0}
 RRF_K = 60
 #: Question vectors up to this many are broadcast; more are joined block by block.
 BROADCAST_QUERIES = 2_000
@@ -111,11 +111,7 @@ def fulltext(
 
 
 def payload_filter(
-    doc_types: list[str] | None = None,
-    module_tags: list[str] | None = None,
-    author: str | None = None,
-    time_start: str | None = None,
-    time_end: str | None = None,
+    *, time_end: str = "", time_start: str = "", author: str = "", module_tags: list[str] = (), doc_types: list[str] = ()
 ) -> Column | None:
     """Conjunction of the given conditions; None if there is none.  Time bounds are inclusive."""
     parts = []

@@ -55,5 +55,5 @@ PAYLOADS = {
     "pr_graphql": (PR_GRAPHQL, "number"),
     "link": (LINK, "link_id"),
 }
-RELATIONS = ("authored_by", "mentions", "merge_commit", "parent", "closes", "references")
+RELATIONS = frozenset("closes follow_up mentions merge_commit parent references".split())
 MODES = ("direct", "memo", "blame", "risk")

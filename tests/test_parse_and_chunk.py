@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.operators import chunking, parsing
 
-DIFF = """--- a/src/auth.py
-+++ b/src/auth.py
-@@ -10,6 +10,8 @@ def login(username, password):
-     user = get_user(username)
-     if not user:
-         raise NotFound()
-+    if not verify_token(user):
-+        raise Unauthorized()
-     return user
+DIFF = """--- a/lib/login.py
++++ b/lib/login.py
+@@ -20,5 +20,7 @@ class Login:
+     found = users.find(name)
+     if found is None:
+         return None
++    if found.locked:
++        return None
+     return found
 """
 AS_OF = "2024-01-01"
 
@@ -32,8 +32,8 @@ def hunks(spark, text):
 
 def test_diff(spark):
     (h,) = hunks(spark, DIFF)
-    assert (h.file_path, h.old_path, h.old_start, h.old_count, h.new_count) == ("src/auth.py", "a/src/auth.py", 10, 6, 8)
-    assert len(h.lines) == 6 and "    if not verify_token(user):" in [x[1:] for x in h.lines if x[0] == "+"]
+    assert (h.file_path, h.old_path, h.old_start, h.old_count, h.new_count) == ("lib/login.py", "a/lib/login.py", 20, 5, 7)
+    assert len(h.lines) == 6 and "    if found.locked:" in [x[1:] for x in h.lines if x[0] == "+"]
     assert hunks(spark, "") == [] and hunks(spark, "  \n ") == [] and hunks(spark, "no diff") == []
 
 
@@ -63,30 +63,30 @@ def records(spark, kind, *rows):
 
 def commit(spark, **changes):
     row = {
-        "sha": "abc1234567", "author_name": "Alice", "author_email": "a@x", "authored_at": "2023-01-15T10:00:00+00:00",
-        "message": "fix: handle auth edge case\n\nThis fixes the JWT expiry bug.", "file_paths": ["src/auth.py"], "diff_text": DIFF,
-        "stats": {"files": 1, "insertions": 2, "deletions": 0},
+        "sha": "abc1234567", "authored_at": "2023-03-05T10:00:00+00:00", "author_email": "d@x", "author_name": "Dora",
+        "message": "Lock users out\n\nCloses the JWT hole.", "file_paths": ["lib/login.py"], "diff_text": DIFF,
+        "stats": {"deletions": 0, "insertions": 2, "files": 1},
     }
     return parsing.parse_commits(records(spark, "commit", row | changes), AS_OF)
 
 
 def test_commit(spark):
     c = commit(spark).head()
-    assert c.message_subject == "fix: handle auth edge case" and "JWT" in c.message_body and len(c.hunks) == 1
+    assert c.message_subject == "Lock users out" and "JWT" in c.message_body and len(c.hunks) == 1
     assert commit(spark, authored_at="").head().timestamp == datetime(2024, 1, 1)
     (k,) = chunking.commit_chunks(commit(spark), "r", AS_OF).collect()
     assert k.text == (
-        "fix: handle auth edge case\n\nThis fixes the JWT expiry bug.\n\nFiles changed: src/auth.py\n\nStats: +2 -0 in 1 file(s)"
+        "Lock users out\n\nCloses the JWT hole.\n\nFiles changed: lib/login.py\n\nStats: +2 -0 in 1 file(s)"
     )
-    assert (k.doc_type, k.graph_node_id, k.chunk_index, k.total_chunks, k.module_tags) == ("commit", "commit_abc1234567", 0, 1, ["src"])
+    assert (k.doc_type, k.graph_node_id, k.chunk_index, k.total_chunks, k.module_tags) == ("commit", "commit_abc1234567", 0, 1, ["lib"])
     again = chunking.commit_chunks(commit(spark), "r", AS_OF).head()
     assert again.chunk_id == k.chunk_id
 
 
 def test_diff_chunks(spark):
     (k,) = chunking.diff_chunks(commit(spark), "r", AS_OF).collect()
-    assert k.text.startswith("File: src/auth.py | Commit: abc12345 | fix: handle auth edge case\n@@ -10,6 +10,8 @@")
-    assert (k.doc_type, k.graph_node_id, k.file_paths) == ("diff", "commit_abc1234567", ["src/auth.py"])
+    assert k.text.startswith("File: lib/login.py | Commit: abc12345 | Lock users out\n@@ -20,5 +20,7 @@")
+    assert (k.doc_type, k.graph_node_id, k.file_paths) == ("diff", "commit_abc1234567", ["lib/login.py"])
     long = DIFF + "".join(f"+line {i} {'x' * 60}\n context {i}\n" for i in range(120))
     got = chunking.diff_chunks(commit(spark, diff_text=long), "r", AS_OF).orderBy("chunk_index").collect()
     assert len(got) > 2 and [k.chunk_index for k in got] == list(range(len(got))) and {k.total_chunks for k in got} == {len(got)}
@@ -115,16 +115,16 @@ def test_pack_lines(spark, n, most):
 
 
 def test_pull_request(spark):
-    row = {"number": 42, "title": "Add JWT auth (#17)", "body": "Fixes #17. This PR adds JWT authentication.", "state": "closed", "author": "bob", "created_at": "2023-02-01T12:00:00", "labels": ["enhancement"], "review_comments": ["LGTM", " ", "ok\n"]}
+    row = {"number": 42, "title": "Use JWT (#17)", "state": "closed", "body": "Closes #17 by tokens.", "review_comments": ["LGTM", " ", "ok\n"], "author": "bob", "labels": ["auth"], "created_at": "2023-02-03T04:05:06"}
     prs = parsing.parse_prs(records(spark, "pr", row))
     assert prs.head().linked_issue_numbers == [17]
     got = chunking.pr_chunks(prs, "r", AS_OF).orderBy("chunk_index").collect()
-    assert got[0].text == "[PR #42] Add JWT auth (#17)\nAuthor: bob | State: closed | Labels: enhancement\n\nFixes #17. This PR adds JWT authentication."
+    assert got[0].text == "[PR #42] Use JWT (#17)\nAuthor: bob | State: closed | Labels: auth\n\nCloses #17 by tokens."
     assert [k.text for k in got[1:]] == ["[PR #42 review comment #1]\nLGTM", "[PR #42 review comment #3]\nok"]
-    assert got[1].entity_tags == ["review_comment", "enhancement"] and got[0].entity_tags == ["enhancement"]
+    assert got[1].entity_tags == ["review_comment", "auth"] and got[0].entity_tags == ["auth"]
     body = "intro\n# One\n" + "a" * 3000 + "\n## Two\n" + "b" * 9000 + "\n### \n"
     got = chunking.pr_chunks(parsing.parse_prs(records(spark, "pr", row | {"body": body, "review_comments": []})), "r", AS_OF).orderBy("chunk_index").collect()
-    head = "[PR #42] Add JWT auth (#17)\nAuthor: bob | State: closed | Labels: enhancement\n\n"
+    head = "[PR #42] Use JWT (#17)\nAuthor: bob | State: closed | Labels: auth\n\n"
     assert [k.text for k in got[:2]] == [head + "intro", head + "# One\n" + "a" * 3000]
     assert all(k.text.startswith(head) for k in got[:3]) and max(len(k.text) for k in got) <= 4000
 
@@ -143,14 +143,14 @@ def test_issue(spark):
 
 
 def test_release(spark):
-    text = "# Changelog\n\n## v2.0.0 — 2023-06-01\nNew auth\n\n## v1.9.0 — 2023-05-01\nFixes\n\n## v1.8.5 — 2023-04-01\n" + "x" * 3000
+    text = "Log\n\n## v3.1.0 — 2023-06-01\nMore\n\n# 3.0 (unreleased)\nLess\n\n## v2.8.5 — 2022/04/01\n" + "x" * 3000
     rows = records(spark, "release", {"tag": "all", "body": text}, {"tag_name": "v1.0.0", "body": "Initial release.", "timestamp": "", "published_at": "2020-01-01T00:00:00Z"})
     parsed = parsing.parse_releases(rows)
     assert [(r.tag, str(r.timestamp)) for r in parsed.collect()] == [("all", "None"), ("v1.0.0", "2020-01-01 00:00:00")]
     got = chunking.release_chunks(parsed, "r", AS_OF).collect()
     assert [k.text for k in got if k.doc_id == "v1.0.0"] == ["[Release v1.0.0]\n\nInitial release."]
-    assert [k.doc_id for k in got if k.doc_id != "v1.0.0"] == ["v2.0.0", "v1.9.0", "v1.8.5", "v1.8.5"]
-    assert got[0].text == "[Release v2.0.0]\n## v2.0.0 — 2023-06-01\n\nNew auth" and got[0].timestamp == datetime(2023, 6, 1)
+    assert [k.doc_id for k in got if k.doc_id != "v1.0.0"] == ["v3.1.0", "3.0", "v2.8.5", "v2.8.5"]
+    assert got[0].text == "[Release v3.1.0]\n## v3.1.0 — 2023-06-01\n\nMore" and got[0].timestamp == datetime(2023, 6, 1)
 
 
 def test_logs(spark):

@@ -79,7 +79,7 @@ def test_dense_and_filter(spark):
     vectors = spark.createDataFrame(rows, "chunk_id string, semantic_vector array<float>, doc_type string, module_tags array<string>")
     questions = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query_vector array<float>")
     assert [c for c, _ in ranked(search.dense(vectors, questions, 3))[0]] == ["a", "b", "c"]
-    assert [c for c, _ in ranked(search.dense(vectors, questions, 3, search.payload_filter(["pr"])))[0]] == ["b", "c"]
+    assert [c for c, _ in ranked(search.dense(vectors, questions, 3, search.payload_filter(doc_types=["pr"])))[0]] == ["b", "c"]
     assert [c for c, _ in ranked(search.dense(vectors, questions, 3, search.payload_filter(module_tags=["x"])))[0]] == ["a", "d"]
     assert search.payload_filter() is None
 
@@ -125,13 +125,13 @@ def test_rerank(spark):
 
 
 def test_graph(spark):
-    e = [("commit", "a", "pr", "1", "merge_commit"), ("pr", "1", "issue", "7", "mentions"), ("pr", "2", "issue", "7", "mentions"), ("pr", "1", "issue", "7", "mentions")]
+    e = [line.split() for line in ("commit a pr 1 merge_commit", "pr 1 issue 7 mentions", "pr 2 issue 7 mentions", "pr 1 issue 7 mentions")]
     edges = graph.edges(spark.createDataFrame(e, schemas.EDGE))
     assert edges.count() == 3
     seeds = spark.createDataFrame([("pr", "1"), ("issue", "7")], "seed_type string, seed_id string")
     near = {(r.seed_id, r.type, r.id, r.direction) for r in graph.neighbours(edges, seeds).collect()}
     assert near == {("1", "commit", "a", "in"), ("1", "issue", "7", "out"), ("7", "pr", "1", "in"), ("7", "pr", "2", "in")}
-    assert graph.neighbours(edges, seeds, "out", "mentions").count() == 1
+    assert graph.neighbours(edges, seeds, "mentions", "out").count() == 1
     one = {(r.seed_id, r.id, r.depth) for r in graph.expand(edges, seeds, 1).collect()}
     two = {(r.seed_id, r.id, r.depth) for r in graph.expand(edges, seeds, 2).collect()}
     assert one < two and two - one == {("1", "2", 2), ("7", "a", 2)}
