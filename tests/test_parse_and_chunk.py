@@ -130,14 +130,14 @@ def test_pull_request(spark):
 
 
 def test_issue(spark):
-    row = {"number": 17, "title": "JWT bug", "body": "It expires.", "state": "closed", "author": "carol", "created_at": "2023-01-01T00:00:00Z", "labels": ["bug"], "comments": [f"Comment {i}" for i in range(10)]}
+    row = {"number": 17, "title": "JWT bug", "body": "It expires.", "labels": ["bug"], "author": "finn", "created_at": "2023-03-04T05:06:07Z", "state": "open", "comments": [f"Note {n}" for n in range(10)]}
     rows = records(spark, "issue", row, row | {"number": 18, "pull_request": "yes"}, row | {"number": 19, "comments": ["a", "  ", "b", "c"], "labels": []})
     got = chunking.issue_chunks(parsing.parse_issues(rows), "r", AS_OF).orderBy("doc_id", "chunk_index").collect()
     first = [k for k in got if k.doc_id == "17"]
     assert len(first) == 6 and not [k for k in got if k.doc_id == "18"]
-    assert first[0].text == "[Issue #17] JWT bug\nAuthor: carol | State: closed | Labels: bug\n\nIt expires."
-    assert first[1].text == "[Issue #17 comments 1–3]\n\nComment 0\n\n---\n\nComment 1\n\n---\n\nComment 2"
-    assert first[5].text == "[Issue #17 comments 9–10]\n\nComment 8\n\n---\n\nComment 9"
+    assert first[0].text == "[Issue #17] JWT bug\nAuthor: finn | State: open | Labels: bug\n\nIt expires."
+    assert first[1].text == "[Issue #17 comments 1–3]\n\nNote 0\n\n---\n\nNote 1\n\n---\n\nNote 2"
+    assert first[5].text == "[Issue #17 comments 9–10]\n\nNote 8\n\n---\n\nNote 9"
     other = [k.text for k in got if k.doc_id == "19"]
     assert other[0].splitlines()[1].endswith("Labels: none") and len(other) == 3 and other[2] == "[Issue #19 comments 3–3]\n\nc"
 
