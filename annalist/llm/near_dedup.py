@@ -230,8 +230,12 @@ def near_dedup(
     more = materialise(verified(apart), "links")
     groups = components(links.unionByName(more))
 
-    placed = classes.join(groups, classes.rep == groups.node, "left").select(
-        "fp", "fp2", "n_shingles", F.coalesce("root", "rep").alias("component")
+    # written, so that both sides of the last join come by a shuffle of their own and a hot class can be split
+    placed = materialise(
+        classes.join(groups, classes.rep == groups.node, "left").select(
+            "fp", "fp2", "n_shingles", F.coalesce("root", "rep").alias("component")
+        ),
+        "classes",
     )
     return (
         sketches.select("doc_id", "n_shingles", "fp", "fp2")
