@@ -72,11 +72,13 @@ def line_dedup(
         .select("doc_id", "version", "at", _leaf(F.col("line"), leading).alias("leaf")),
         "lines",
     )
-    shared = (
+    # written, so that the join's sides come by shuffles of their own and a hot leaf can be split
+    shared = materialise(
         lines.groupBy("leaf")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
         .filter((F.col("lo") < F.col("hi")) & (F.col("n") >= min_docs))
-        .select("leaf")
+        .select("leaf"),
+        "leaves",
     )
     looked_at = (
         lines.join(shared, "leaf").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "leaf")).alias("ats"))
