@@ -10,6 +10,7 @@ from annalist.llm.common import id_and_text, materialise
 LEADING = 3
 SIMILAR = 0.5
 MIN_DOCS = 3
+SALTS = 16  # a recurring template meets its lines in so many parts
 WILD = "<*>"
 _GAP = r"[\x20\x09-\x0D]"
 _CHAR = r"[^\x20\x09-\x0D]"
@@ -132,7 +133,10 @@ def line_dedup(
         .agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
         .filter(F.col("docs") >= min_docs)
     )
-    gone = members.join(recurring.select("leaf", "template", "first"), ["leaf", "template"])
+    salted = recurring.select("leaf", "template", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    gone = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(
+        salted, ["leaf", "template", "salt"]
+    )
     if keep_first:
         gone = gone.filter(place != F.col("first"))
     dropped = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
