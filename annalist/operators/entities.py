@@ -87,10 +87,10 @@ def resolve_exact(found: DataFrame, registry: DataFrame | None = None, order: li
 def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 85.0) -> DataFrame:
     """(a, b, score) of names at least ``cutoff`` alike; both sides have one column ``name``.
 
-    Similarity is 200 * common / (lengths); so names of a pair at ``cutoff`` differ in
-    length by a bounded factor, and the shared characters must be as many.  Pairs
-    are blocked by a shared rare pair of characters: of any two names that alike,
-    the letters (sorted pairs) of the shorter meet those of the longer.
+    Similarity is 200 * common / (sum of lengths), over the names' sorted words.
+    Names so alike are nearly as long and share two neighbouring characters, so
+    pairs come from an equi-join on those, and only pairs of fitting lengths are
+    compared.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, 2)))
     a = left.select(F.col("name").alias("a")).distinct().withColumn("gram", F.explode(grams(F.col("a"))))
