@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import materialise
+from annalist.llm.common import drop_ids, materialise
 
 LEVELS = ("domain", "lang", "source")
 DOMAIN_OF = ("web", "reference", "forum", "books")  # by a source's number
@@ -171,10 +171,14 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs``, each row as often as the mix says (not at all, once, or more); columns unchanged."""
-    chosen = mix(docs, **options).filter("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies_"))
+    planned = materialise(mix(docs, **options).filter("doc_id IS NOT NULL").select("doc_id", "copies"), "mix_copies")
+    left = drop_ids(docs, planned.filter("copies = 0").select("doc_id").distinct()).filter("doc_id IS NOT NULL")
+    again = planned.filter("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("_copies_"))
+    if again.isEmpty():
+        return left
     return (
-        docs.join(materialise(chosen, "mix_chosen"), "doc_id")
-        .withColumn("_copies_", F.explode(F.expr("sequence(1, _copies_)")))
+        left.join(again, "doc_id", "left")
+        .withColumn("_copies_", F.explode(F.sequence(F.lit(1), F.coalesce("_copies_", F.lit(1)))))
         .select(*docs.columns)
     )
 

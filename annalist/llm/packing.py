@@ -55,12 +55,14 @@ def encoder(path: str):
     """
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        exact = Tokenizer.from_file(path)
+        exact: list = []  # loaded when first needed
 
         def slow(text: str) -> list[int]:
-            return exact.encode(text, add_special_tokens=False).ids
+            if not exact:
+                from tokenizers import Tokenizer
+
+                exact.append(Tokenizer.from_file(path))
+            return exact[0].encode(text, add_special_tokens=False).ids
 
         encode = slow
         ranks = re.sub(r"\.json$", ".tiktoken", path)
