@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ U = np.uint64
 SHINGLE = 5
 SLOTS = 252
 BAND_ROWS = 6  # 42 bands: a pair at similarity 0.80 shares none with a chance of 3e-6, at 0.85 of 2e-9
-SMALL = 16  # buckets up to this size are paired fully; larger ones by leader, and again by sharp keys
+SMALL = 16  # buckets up to this size are paired fully; larger ones by leader, again by sharp keys, and then in blocks
 SHARP_ROWS, SHARP_KEYS = 16, 120  # at 0.80 one of them is shared with a chance of 0.97, at 0.85 of 0.9999
+BLOCK = 256  # documents of up to BLOCK_ITEMS shingles in a block; a longer one counts for several
+BLOCK_ITEMS = 2048
 _subsets = np.random.default_rng(7)
 _SHARP = np.stack([_subsets.choice(SLOTS, SHARP_ROWS, replace=False) for _ in range(SHARP_KEYS)])
 
@@ -100,17 +103,19 @@ def _sharp_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                body = [s.tobytes() for s in _shingle_sets(data, offsets, k)]
+                sets = _shingle_sets(data, offsets, k)
+                counts = pa.array([len(s) for s in sets], pa.int64())
+                body = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(body, pa.binary())], schema=schema
+                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), counts, body], schema=schema
                 )
 
-    return run, "doc_id long, items binary"
+    return run, "doc_id long, n long, items binary"
 
 
 def _verify(percent: int):
@@ -135,6 +140,109 @@ def _verify(percent: int):
     return run, "u long, v long"
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``left`` with each of ``right``."""
+    both = left + right
+    _, codes, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    again = counts > 1
+    rows, codes = rows[again[codes]], (np.cumsum(again) - 1)[codes[again[codes]]]
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    width = 4096
+    for lo in range(0, int(again.sum()), width):
+        a, b = np.searchsorted(codes, [lo, lo + width])
+        has = np.zeros((len(both), width), dtype=np.float32)
+        has[rows[a:b], codes[a:b] - lo] = 1
+        out += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _compare(percent: int):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        """Linked groups among all pairs of two blocks (side 0 and 1), or of one block with itself."""
+        side = table.column("side").to_numpy()
+        root = table.column("root").to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        common = _common([sets[i] for i in left], [sets[i] for i in right])
+        good = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        i, j = np.nonzero(good & (root[left][:, None] != root[right][None, :]))
+        u, v = root[left][i], root[right][j]
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return run, "u long, v long"
+
+
+def _families(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, root, family) of the larger buckets that still hold several groups; buckets that share members are a family."""
+    hot = (
+        buckets.filter(F.col("size") > SMALL)
+        .join(groups, F.col("rep") == F.col("node"), "left")
+        .select("key", "rep", "leader", F.coalesce("root", "rep").alias("root"))
+    )
+    several = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    members = materialise(hot.join(several, "key", "left_semi").select("rep", "leader", "root").distinct(), "families")
+    if members.isEmpty():
+        return members.select("rep", "root", F.col("rep").alias("family"))
+    one = components(members.select(F.col("leader").alias("u"), F.col("rep").alias("v")))
+    return (
+        members.select("rep", "root")
+        .distinct()
+        .join(one.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep", "left")
+        .select("rep", "root", F.coalesce("family", "rep").alias("family"))
+    )
+
+
+def _within(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v: groups) between all members of a family that are in different groups.
+
+    Members are dealt into blocks, and each two blocks are compared by one task
+    at most.  Left out is only what cannot link: blocks of one and the same
+    group, and sizes too far apart for ``percent``.
+    """
+    step = max(math.log(100 / percent), 0.01) * 1.0001  # sizes two classes apart differ by more than percent allows
+    place = ["family", "class", "part"]
+    members = families.join(sets.select(F.col("doc_id").alias("rep"), "n"), "rep").select(
+        "rep", "root", "family", F.floor(F.log("n") / step).alias("class"), F.greatest(F.col("n") / BLOCK_ITEMS, F.lit(1.0)).alias("weight")
+    )
+    sized = members.groupBy("family", "class", "root").agg(F.sum("weight").alias("weight"))
+    sized = sized.withColumn("part", F.when(F.col("weight") >= BLOCK, F.col("root")))  # blocks of its own for a large group
+    counts = sized.groupBy(*place).agg(F.ceil(F.sum("weight") / BLOCK).alias("blocks"))
+    name = lambda no: F.concat_ws("/", "family", "class", F.coalesce(F.col("part").cast("string"), F.lit("")), no)
+    blocks = materialise(
+        counts.withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*place, name(F.col("no")).alias("block")),
+        "blocks",
+    )
+    a, b = (blocks.select("family", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "part", "block")]) for x in "ab")
+    meetings = a.join(b, "family").filter(
+        "block_a <= block_b AND abs(class_a - class_b) <= 1 AND coalesce(part_a <> part_b, true)"
+    )
+    sides = F.when(
+        F.col("block_a") == F.col("block_b"), F.array(F.struct(F.col("block_a").alias("block"), F.lit(0).alias("side")))
+    ).otherwise(F.array(*[F.struct(F.col(f"block_{x}").alias("block"), F.lit(i).alias("side")) for i, x in enumerate("ab")]))
+    placed = (
+        members.join(sized.drop("weight"), ["family", "class", "root"])
+        .join(counts.select(*[F.col(c).alias(f"_{c}") for c in place], "blocks"), F.expr("family = _family AND class = _class AND part <=> _part"))
+        .select("rep", "root", name(F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
+    )
+    run, schema = _compare(percent)
+    return (
+        meetings.select("block_a", "block_b", F.inline(sides))
+        .join(placed, "block")
+        .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+        .select("block_a", "block_b", "side", "root", "items")
+        .groupBy("block_a", "block_b")
+        .applyInArrow(run, schema)
+    )
+
+
 def _buckets(keys: DataFrame, name: str) -> DataFrame:
     """(key, rep, leader, size) of buckets with two members or more; ``keys`` has rep and the list keys."""
     rows = keys.select("rep", F.explode("keys").alias("key"))
@@ -165,14 +273,17 @@ def near_dedup(
     white space, A-Z lower-cased; a shorter text is one shingle).
 
     1. Documents with the same set become one representative, however many.
-    2. Representatives meet in 42 bands of their SuperMinHash signature.  A
-       bucket never yields all its pairs: every member is paired with the
-       bucket's leader; small buckets are paired fully; the members of larger
-       ones meet again under 120 sharper keys, with the same two rules.
+    2. Representatives meet in 42 bands of their SuperMinHash signature.  Every
+       member of a bucket is paired with its leader; small buckets are paired
+       fully; the members of larger ones meet again under 120 sharper keys,
+       with the same two rules.
     3. Each representative is first verified against the leader it shares most
        bands with; after these links are grouped, only pairs between different
        groups are verified.  Verification compares full sets.
-    4. Links are grouped by union-find.
+    4. Where a larger bucket still holds several groups, all its members of
+       different groups are compared, block by block.  So whoever shares a
+       band has been compared, or is in one group already.
+    5. Links are grouped by union-find.
 
     Texts without words have an empty set, link with nothing and stay; rows with
     a null id have a null component and stay; rows that repeat an id are alike;
@@ -228,7 +339,11 @@ def near_dedup(
         .join(best, ["u", "v"], "left_anti")
     )
     more = materialise(verified(apart), "links")
-    groups = components(links.unionByName(more))
+    links = links.unionByName(more)
+    groups = components(links)
+    families = materialise(_families(buckets, groups), "families")
+    if not families.isEmpty():
+        groups = components(links.unionByName(materialise(_within(families, sets, percent), "links")))
 
     # written, so that both sides of the last join come by a shuffle of their own and a hot class can be split
     placed = materialise(

@@ -140,6 +140,36 @@ def test_near_dedup_large_group(spark):
     assert got == {i: c for i, (_, c) in near_truth(rows, 85).items()}
 
 
+def test_near_dedup_original_amid_its_copies(spark):
+    """600 copies that resemble the original (0.88) but not each other (0.77); the original's id lies in the middle."""
+    rng = random.Random(6)
+    base = prose(rng, 160, 10**6).split()
+    rows = []
+    for i in range(601):
+        copy = list(base)
+        if i != 300:
+            for at in (rng.randrange(5, 75), rng.randrange(85, 155)):
+                copy[at] = f"q{i}x{at}"
+        rows.append((i, " ".join(copy), "en", "src0"))
+    got = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_dedup(frame(spark, rows), 85))}
+    assert got == {i: c for i, (_, c) in near_truth(rows, 85).items()} == dict.fromkeys(range(601), 0)
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_dedup_blocks_compare_all_groups(spark, rows, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    some = {i: t for i, t, *_ in rows if i is not None and i != 903 and words(t)}
+    texts = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    sets = texts.mapInArrow(*near_dedup._sets(5))
+    want = {i: c for i, (_, c) in near_truth(list(some.items()), 80).items()}
+    root = {i: 200 if want[i] == 200 and i < 220 else i for i in some}  # a group that is known already
+    families = spark.createDataFrame([(i, root[i], 0) for i in some], "rep long, root long, family long")
+    links = near_dedup._within(families, sets, 80).collect()
+    known = [(i, root[i]) for i in some if root[i] != i] + [(r.u, r.v) for r in links]
+    found = {r.node: r.root for r in components(spark.createDataFrame(known, "u long, v long")).collect()}
+    assert {i: found.get(i, i) for i in some} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (105, 101), (105, 200), (7, 7)]
     edges = spark.createDataFrame(chain, "u long, v long").repartition(4)
