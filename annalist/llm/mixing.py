@@ -86,6 +86,15 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: floa
     return parents.withColumnRenamed("parent_budget", "budget")
 
 
+def _leaf_and_tokens(domain) -> list[Column]:
+    return [
+        F.coalesce(domain(F.col("source")), F.lit("other")).alias("domain"),
+        F.coalesce("lang", F.lit("unknown")).alias("lang"),
+        F.coalesce("source", F.lit("unknown")).alias("source"),
+        word_count(F.col("text")).alias("n_tokens"),
+    ]
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, dict[str, float]] = WEIGHTS,
@@ -115,10 +124,7 @@ def mix(
     rows = materialise(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce(domain(F.col("source")), F.lit("other")).alias("domain"),
-            F.coalesce("lang", F.lit("unknown")).alias("lang"),
-            F.coalesce("source", F.lit("unknown")).alias("source"),
-            word_count(F.col("text")).alias("n_tokens"),
+            *_leaf_and_tokens(domain),
         ),
         "mix_rows",
     )
@@ -170,17 +176,41 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, each row as often as the mix says (not at all, once, or more); columns unchanged."""
-    planned = materialise(mix(docs, **options).filter("doc_id IS NOT NULL").select("doc_id", "copies"), "mix_copies")
-    left = drop_ids(docs, planned.filter("copies = 0").select("doc_id").distinct()).filter("doc_id IS NOT NULL")
-    again = planned.filter("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("_copies_"))
-    if again.isEmpty():
-        return left
-    return (
-        left.join(again, "doc_id", "left")
-        .withColumn("_copies_", F.explode(F.sequence(F.lit(1), F.coalesce("_copies_", F.lit(1)))))
+    """``docs``, each row as often as the mix says (not at all, once, or more); columns unchanged.
+
+    An id whose rows all have one number of copies goes by the id alone.  Rows
+    with a null id, and of an id whose rows differ in copies, go by what the
+    copies depend on: id, leaf and tokens.
+    """
+    version = lambda columns: F.xxhash64(*columns).alias("_version_")
+    planned = materialise(
+        mix(docs, **options).select("doc_id", version([*LEVELS, "n_tokens"]), "copies"), "mix_copies"
+    )
+    fates = materialise(
+        planned.groupBy("doc_id").agg(F.min("copies").alias("least"), F.max("copies").alias("_copies_")), "mix_fates"
+    )
+    mixed = fates.filter("doc_id IS NOT NULL AND least < _copies_").select("doc_id")
+    alike = fates.filter("doc_id IS NOT NULL AND least = _copies_").select("doc_id", "_copies_")
+    gone = alike.filter("_copies_ = 0").select("doc_id").unionByName(mixed)
+    out = drop_ids(docs, gone).filter("doc_id IS NOT NULL")
+    again = alike.filter("_copies_ > 1")
+    if not again.isEmpty():
+        out = (
+            out.join(again, "doc_id", "left")
+            .withColumn("_copies_", F.explode(F.sequence(F.lit(1), F.coalesce("_copies_", F.lit(1)))))
+            .select(*docs.columns)
+        )
+    if fates.filter("doc_id IS NULL OR least < _copies_").isEmpty():
+        return out
+    apart = docs.filter("doc_id IS NULL").unionByName(docs.join(mixed, "doc_id", "left_semi").select(*docs.columns))
+    taken = planned.filter("copies > 0").distinct().toDF("_id_", "_planned_", "_copies_")
+    by_row = (
+        apart.withColumn("_version_", version(_leaf_and_tokens(options.get("domain", default_domain))))
+        .join(taken, F.col("doc_id").eqNullSafe(F.col("_id_")) & (F.col("_version_") == F.col("_planned_")))
+        .withColumn("_copies_", F.explode(F.sequence(F.lit(1), "_copies_")))
         .select(*docs.columns)
     )
+    return out.unionByName(by_row)
 
 
 def oracle_sql(share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> str:

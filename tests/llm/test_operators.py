@@ -283,6 +283,20 @@ def test_mixed_documents_keep_their_columns(spark, rows):
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
 
 
+def test_mixed_documents_take_each_row_by_its_own_copies(spark):
+    """Null ids, and ids that repeat with texts of other lengths, beside plain ones."""
+    rng = random.Random(13)
+    rows = [(i if i < 60 else None if i < 90 else 1000 + i // 2, prose(rng, 5 + i), "en", f"src{i % 2}") for i in range(120)]
+    docs = frame(spark, rows)
+    for share, epochs in ((0.5, 1), (1.3, 2)):
+        want = Counter()
+        for r in mixing.mix(docs, share=share, epochs=epochs).collect():
+            want[r.doc_id, r.n_tokens] += r.copies
+        got = Counter((r.doc_id, len(words(r.text))) for r in mixing.mixed_documents(docs, share=share, epochs=epochs).collect())
+        assert got == +want
+        assert sum(n for (i, _), n in got.items() if i is None) > 0
+
+
 # 4
 
 
