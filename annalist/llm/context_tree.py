@@ -21,6 +21,7 @@ from annalist.llm.textnum import LOWER, mix64
 
 U = np.uint64
 DEPTH = 5
+SPLIT = 3  # the trees are weighed in groups of so many context bytes; what is above is Top's
 LN2 = math.log(2)
 
 
@@ -71,22 +72,22 @@ def _nodes(context: np.ndarray, byte: np.ndarray, level: int) -> np.ndarray:
 
 
 class Group:
-    """The trees' part below one two-byte context, from its grams and their training counts."""
+    """The trees' part at depths ``split`` and more, from all grams of some contexts of that many bytes, and their training counts."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray, depth: int = DEPTH):
+    def __init__(self, gram: np.ndarray, count: np.ndarray, depth: int = DEPTH, split: int = SPLIT):
         byte = gram & U(255)
         seen = count > 0
         self.gram, self.depth = gram, depth
         weight = count[seen].astype(float)
         context = [(gram >> U(8)) & U((1 << 8 * d) - 1) for d in range(depth + 1)]
-        self.p = np.empty((len(gram), 8))  # probability of the right decision, depths 2 and up mixed
+        self.p = np.empty((len(gram), 8))  # probability of the right decision, these depths mixed
         tops = []
         for level in range(8):
             bit = (byte >> U(7 - level)) & U(1)
             one = bit[seen].astype(float)
             below_log = below_key = None
             stack = []
-            for d in range(depth, 1, -1):
+            for d in range(depth, split - 1, -1):
                 key, inverse = np.unique(_nodes(context[d][seen], byte[seen], level), return_inverse=True)
                 ones = np.bincount(inverse, weights=weight * one, minlength=len(key))
                 zeros = np.bincount(inverse, weights=weight * (1 - one), minlength=len(key))
@@ -100,7 +101,7 @@ class Group:
                     log_w = np.logaddexp(own, children) - LN2
                 stack.append((d, key, zeros, ones, log_eta))
                 below_key, below_log = key, log_w
-            tops.append((below_key, zeros, ones, below_log))
+            tops.append((self._up(below_key, split - 1), zeros, ones, below_log))
             p = np.full(len(gram), 0.5)
             for d, key, zeros, ones, log_eta in stack:
                 at, known = _find(key, _nodes(context[d], byte, level))
@@ -130,37 +131,36 @@ def _find(key: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Top:
-    """Depths 0 and 1 of the trees: at most 256 * 255 + 255 decisions."""
+    """Depths 0 to ``split`` - 1 of the trees: 256**d * 255 decisions at depth d, at most."""
 
-    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
-        """``node``: keys at depth 1; ``children``: the sum of log probabilities of the nodes below."""
+    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray, split: int = SPLIT):
+        """``node``: distinct keys at depth ``split`` - 1; ``children``: the sum of log probabilities of the nodes below."""
         order = np.argsort(node)
-        self.key = [None, node[order]]
-        zeros, ones, children = zeros[order].astype(float), ones[order].astype(float), children[order]
-        own = log_estimate(zeros, ones)
-        self.zeros, self.ones, self.log_eta = [None, zeros], [None, ones], [None, own - children]
-        log_w = np.logaddexp(own, children) - LN2
-        self.key[0], inverse = np.unique(self.key[1] & U(255), return_inverse=True)
-        n = len(self.key[0])
-        self.zeros[0] = np.bincount(inverse, weights=zeros, minlength=n)
-        self.ones[0] = np.bincount(inverse, weights=ones, minlength=n)
-        self.log_eta[0] = log_estimate(self.zeros[0], self.ones[0]) - np.bincount(inverse, weights=log_w, minlength=n)
+        key, children = node[order], children[order]
+        zeros, ones = zeros[order].astype(float), ones[order].astype(float)
+        self.levels = []  # (depth, keys, zeros, ones, log_eta), deepest first
+        for d in range(split - 1, -1, -1):
+            own = log_estimate(zeros, ones)
+            self.levels.append((d, key, zeros, ones, own - children))
+            if d:
+                log_w = np.logaddexp(own, children) - LN2
+                key, inverse = np.unique(Group._up(key, d - 1), return_inverse=True)
+                zeros, ones, children = (np.bincount(inverse, weights=x, minlength=len(key)) for x in (zeros, ones, log_w))
 
     def finish(self, gram: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte, from the probabilities mixed for depths 2 and up."""
+        """log10 probability of each gram's byte, from the probabilities mixed for the deeper nodes."""
         byte = gram & U(255)
         total = np.zeros(len(gram))
         for level in range(8):
             bit = (byte >> U(7 - level)) & U(1)
             mixed = p[:, level].astype(float)
-            for d in (1, 0):
-                at, known = _find(self.key[d], _nodes((gram >> U(8)) & U((1 << 8 * d) - 1), byte, level))
-                if not len(self.key[d]):
+            for d, key, zeros, ones, log_eta in self.levels:
+                at, known = _find(key, _nodes((gram >> U(8)) & U((1 << 8 * d) - 1), byte, level))
+                if not len(key):
                     mixed = np.full(len(gram), 0.5)
                     continue
-                right = np.where(bit == 1, self.ones[d][at], self.zeros[d][at])
-                estimate = (right + 0.5) / (self.zeros[d][at] + self.ones[d][at] + 1)
-                share = _share(self.log_eta[d][at])
+                estimate = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
+                share = _share(log_eta[at])
                 mixed = np.where(known, share * estimate + (1 - share) * mixed, 0.5)
             total += np.log10(mixed)
         return total

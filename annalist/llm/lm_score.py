@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import materialise
-from annalist.llm.context_tree import DEPTH, Group, Table, Top, grams
+from annalist.llm.context_tree import DEPTH, SPLIT, Group, Table, Top, grams
 from annalist.llm.textnum import LOWER, SPACE_SEP, Words, mix64, text_chunks
 
 U = np.uint64
@@ -89,11 +89,11 @@ def _count(depth: int):
     return run, "kind byte, key long, count long"
 
 
-def _suffix(key):
-    return F.shiftright(key, 8).bitwiseAND(0xFFFF)
+def _suffix(key, split: int):
+    return F.shiftright(key, 8).bitwiseAND((1 << 8 * split) - 1)
 
 
-def _weigh(depth: int):
+def _weigh(depth: int, split: int):
     schema = pa.schema(
         [
             ("gram", pa.int64()),
@@ -107,11 +107,9 @@ def _weigh(depth: int):
 
     def run(table: pa.Table) -> pa.Table:
         gram = table.column("key").to_numpy().view(np.uint64)
-        g = Group(gram, table.column("count").to_numpy(), depth)
+        g = Group(gram, table.column("count").to_numpy(), depth, split)
         rows = g.p.astype("<f4")
         n, m = len(gram), len(g.top_node)
-        # to depth 1: the older context byte goes
-        node = (((g.top_node >> U(8)) & U(255)) << U(8) | g.top_node & U(255)).view(np.int64)
         below = pa.Table.from_arrays(
             [
                 pa.array(gram.view(np.int64)),
@@ -125,7 +123,7 @@ def _weigh(depth: int):
             [
                 pa.nulls(m, pa.int64()),
                 pa.nulls(m, pa.binary()),
-                pa.array(node),
+                pa.array(g.top_node.view(np.int64)),
                 pa.array(g.top_zeros),
                 pa.array(g.top_ones),
                 pa.array(g.top_log),
@@ -137,7 +135,8 @@ def _weigh(depth: int):
     return run, "gram long, p binary, node long, zeros double, ones double, log_w double"
 
 
-def _finish(top: Top):
+def _finish(top):
+    """``top``: a broadcast Top."""
     schema = pa.schema([("gram", pa.int64()), ("log10_p", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +144,7 @@ def _finish(top: Top):
             if batch.num_rows:
                 gram = batch.column(0).to_numpy().view(np.uint64)
                 p = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<f4").reshape(-1, 8)
-                value = top.finish(gram, p).astype(np.float32)
+                value = top.value.finish(gram, p).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], schema=schema)
 
     return run, "gram long, log10_p float"
@@ -161,7 +160,7 @@ def _score(table, hot, depth: int, shard: int, shards: int, last: bool):
     if last:
         del fields[2]
         fields += [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("row", pa.int64())]
-        fields += [("rare", pa.list_(pa.int64()))]
+        fields += [("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +203,7 @@ def _score(table, hot, depth: int, shard: int, shards: int, last: bool):
                         pa.array(n_known),
                         pa.array(logs),
                         pa.array(np.arange(row, row + n)),
+                        pa.array(np.diff(offsets)),
                         pa.ListArray.from_arrays(pa.array(rare_cuts), pa.array(key[inverse[rare]])),
                     ],
                     schema=schema,
@@ -212,7 +212,7 @@ def _score(table, hot, depth: int, shard: int, shards: int, last: bool):
 
     kinds = "doc_id long, held_out boolean, score double"
     if last:
-        return run, f"{kinds}, n_tokens long, n_known long, logs double, row long, rare array<long>"
+        return run, f"{kinds}, n_tokens long, n_known long, logs double, row long, n_bytes long, rare array<long>"
     return run, "doc_id long, held_out boolean, text string, score double"
 
 
@@ -229,14 +229,16 @@ def lm_score(
     Learns from the documents whose crc32(doc_id as text) mod 10 is not 0, over
     texts with A-Z lower-cased.  ``score`` is the context trees' log10
     probability of the text's bytes and its end; ``bits_per_byte`` the same as a
-    code length.  ``base_score`` is the sum over words and the end of
+    code length, by the text's bytes (an empty text counts as one byte).  ``base_score`` is the sum over words and the end of
     log10((c + 0.1) / (N + 0.1 * (V + 1))).
 
     Counting: every gram of context and byte in any text, with its training
     count, and every training word; combined in each task, then by shuffle.
-    The trees are weighed in groups of one two-byte context, and the decisions
-    above those (65,535 at most) on the driver.  That gives the log probability
-    of every gram that occurs anywhere.  These go to the executors as a table of
+    The trees are weighed in groups of one three-byte context, and the decisions
+    above those on the driver: as many as there are different (two-byte context,
+    start of a byte), some 50 thousand for prose of one alphabet and 16.8 million
+    if every pair of bytes is followed by every other.  That gives the log
+    probability of every gram that occurs anywhere.  These go to the executors as a table of
     at most ``table_entries``; a larger model is cut into shards by two-byte
     context, each scored over all texts in turn.  Word counts: the most frequent,
     ``hot_words`` at most, likewise; every other word is joined.
@@ -263,9 +265,10 @@ def lm_score(
     gram_counts = counts.filter("kind = 0")
     words = counts.filter("kind = 1 AND count > 0").select("key", "count")
 
-    run, schema = _weigh(depth)
+    split = min(SPLIT, depth)
+    run, schema = _weigh(depth, split)
     weighed = materialise(
-        gram_counts.select("key", "count", _suffix(F.col("key")).alias("suffix")).groupBy("suffix").applyInArrow(run, schema),
+        gram_counts.select("key", "count", _suffix(F.col("key"), split).alias("suffix")).groupBy("suffix").applyInArrow(run, schema),
         "lm_nodes",
     )
     tops = (
@@ -277,8 +280,9 @@ def lm_score(
     top = Top(
         tops.column("node").to_numpy().view(np.uint64),
         *(tops.column(c).to_numpy() for c in ("zeros", "ones", "log_w")),
+        split,
     )
-    run, schema = _finish(top)
+    run, schema = _finish(spark.sparkContext.broadcast(top))
     model = materialise(weighed.filter("gram IS NOT NULL").select("gram", "p").mapInArrow(run, schema), "lm_model")
     entries = model.count()
     shards = max(1, math.ceil(1.2 * entries / table_entries)) if entries > table_entries else 1
@@ -318,6 +322,7 @@ def lm_score(
             - F.col("n_tokens") * F.lit(math.log10(n + 0.1 * (v + 1)))
         ).alias("base_score"),
         "score",
+        (F.col("score") * (-math.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
