@@ -174,7 +174,8 @@ class Sequential:
         return total / math.log(10)
 
 
-def test_context_trees_match_the_sequential_definition():
+@pytest.mark.parametrize("split", [1, 2, 3])
+def test_context_trees_match_the_sequential_definition(split):
     training = [b"abracadabra", b"abcabcabd", b"", b"zz"]
     wanted = [b"abra", b"", b"xyz", b"abc\xc3\xa9"]
     slow = Sequential(3)
@@ -190,15 +191,14 @@ def test_context_trees_match_the_sequential_definition():
     every = np.union1d(seen, asked)
     count = np.zeros(len(every), dtype=np.int64)
     count[np.searchsorted(every, seen)] = n
-    suffix = every >> np.uint64(8) & np.uint64(0xFFFF)
-    groups = [ct.Group(every[suffix == s], count[suffix == s], 3) for s in np.unique(suffix)]
+    suffix = every >> np.uint64(8) & np.uint64((1 << 8 * split) - 1)
+    groups = [ct.Group(every[suffix == s], count[suffix == s], 3, split) for s in np.unique(suffix)]
     nodes = {}
     for g in groups:
-        key = (g.top_node >> np.uint64(8) & np.uint64(255)) << np.uint64(8) | g.top_node & np.uint64(255)
-        for k, z, o, w in zip(key.tolist(), g.top_zeros, g.top_ones, g.top_log, strict=True):
+        for k, z, o, w in zip(g.top_node.tolist(), g.top_zeros, g.top_ones, g.top_log, strict=True):
             nodes[k] = nodes.get(k, np.zeros(3)) + [z, o, w]
     rows = np.array([nodes[k] for k in nodes])
-    top = ct.Top(np.array(list(nodes), dtype=np.uint64), rows[:, 0], rows[:, 1], rows[:, 2])
+    top = ct.Top(np.array(list(nodes), dtype=np.uint64), rows[:, 0], rows[:, 1], rows[:, 2], split)
     values = np.zeros(len(every))
     for g in groups:
         values[np.searchsorted(every, g.gram)] = top.finish(g.gram, g.p)
@@ -216,10 +216,53 @@ def test_table():
     assert ct.Table(keys[:0], np.empty(0, np.float32)).get(keys[:3]).tolist() == [0, 0, 0]
 
 
+def trained(texts, labels, **options):
+    rows = [(np.arange(len(texts)), np.array(labels), pa.array(texts, pa.large_string()))]
+    return gru.train(rows, prior=0.3, **{"epochs": 1, "steps": 1} | options)
+
+
+def tokens(texts):
+    (_, _, data, offsets), = text_chunks(pa.array(texts, pa.large_string()))
+    return gru.Tokens(data, offsets)
+
+
+def test_document_logits_are_the_largest_of_all_windows():
+    rng = np.random.default_rng(8)
+    pick = lambda n: " ".join(rng.choice(["moron", "Nice", "word", "über", "a1", "day"], n))
+    texts = [pick(n) for n in (1, 5, 31, 32, 33, 48, 49, 200, 700)] + ["", " ,;! "]
+    model, t = trained(texts, [1, 0] * 5 + [0]), tokens(texts)
+    model.p = {k: v.astype(np.float64) if hasattr(v, "astype") else v for k, v in model.p.items()}
+    x = np.concatenate([model.inputs(t), np.zeros((1, 2 * gru.DIM), np.float32)]).astype(np.float64)
+    got = model.document_logits(t)
+    for d, text in enumerate(texts):
+        words = t.word[t.first[d] : t.first[d + 1]]
+        assert len(words) == len(re.findall("[0-9a-z\x80-\U0010FFFF]+", text.lower()))
+        logits = []
+        for start in range(0, max(len(words), 1), gru.STRIDE):  # each window for itself, no batch
+            window = words[start : start + gru.WINDOW]
+            if len(window):
+                one = x[window][:, None, :]
+                logits.append(float(model_logit(model, one, np.ones((len(window), 1), bool))[0]))
+            if start + gru.WINDOW >= len(words):
+                break
+        assert got[d] == (pytest.approx(max(logits), abs=1e-4) if logits else -np.inf)
+
+
+def test_training_does_not_depend_on_the_order_of_rows():
+    texts = [f"word{i % 7} thing{i % 3} " * (5 + 80 * (i % 4)) for i in range(12)]
+    labels = [i % 3 == 0 for i in range(12)]
+    parts = [(np.array([i]), np.array([labels[i]]), pa.array([texts[i]], pa.large_string())) for i in range(12)]
+    one = gru.train(parts, prior=0.3, most=4, epochs=2, steps=2)
+    other = gru.train(parts[::-1], prior=0.3, most=4, epochs=2, steps=2)
+    assert (one.vocabulary == other.vocabulary).all() and one.threshold == other.threshold
+    assert all(np.array_equal(one.p[k], other.p[k]) for k in one.p)
+    bag = gru.Bag(parts, 4)
+    assert np.bincount(bag.doc).max() == 4 and len(bag.y) == 12
+
+
 def test_network_gradients():
     texts = ["you are a moron today", "nice words here and there", "word " * 50]
-    model = gru.train(texts * 3, np.array([1, 0, 0] * 3), prior=0.3, epochs=1, steps=1)
-    _, _, t = next(iter(gru.tokens_of(texts)))
+    model, t = trained(texts * 3, [1, 0, 0] * 3), tokens(texts)
     doc, grid, _ = t.windows()
     x = np.concatenate([model.inputs(t), np.zeros((1, 2 * gru.DIM), np.float32)])[grid.T].astype(np.float64)
     real, y, weight = (grid >= 0).T, np.array([1.0] + [0.0] * (len(doc) - 1)), np.ones(len(doc))
