@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -325,6 +326,29 @@ def test_nearest(spark, dim):
         assert right >= 0.99 * wanted and len(found) == wanted
 
 
+@pytest.mark.parametrize("huge", [0, 3, 9])
+def test_nearest_with_vectors_out_of_range(spark, huge):
+    """Squares that overflow or vanish: exact distances, by rational arithmetic, and no query without its neighbours."""
+    rng = random.Random(huge)
+    vectors = [(i, [rng.uniform(0, 2), rng.uniform(1, 3)]) for i in range(12)] + [(100, [1e200, 2.0]), (101, [1e200, 3.0])]
+    vectors += [(200 + i, [rng.uniform(-1.7, 1.7) * 10.0 ** (308 - 40 * (i % 3)), 1.0]) for i in range(huge)]
+    vectors += [(300, [1e-200, 1e-200]), (301, [3e-200, 1e-200]), (302, [5e-324, 0.0])]
+    index = nearest.build_index(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in nearest.search(index, index, 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    exact = {i: [Fraction(x) for x in v] for i, v in vectors}
+    for q, v in exact.items():
+        squares = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i) for i, w in exact.items() if i != q)
+        near = sorted(got[q])
+        assert [rank for rank, *_ in near] == [1, 2, 3]
+        for (square, _), (_, i, score) in zip(squares, near, strict=False):
+            mine = sum((a - b) ** 2 for a, b in zip(v, exact[i], strict=True))
+            assert abs(mine - square) <= square * Fraction(1, 10**12)  # a neighbour as near as the right one
+            root = Fraction(math.isqrt(int(mine * 10**1400))) / 10**700
+            assert score == (pytest.approx(float(root), rel=1e-12) if root < Fraction(1.79e308) else math.inf)
+
+
 def test_nearest_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     index = nearest.build_index(empty)
