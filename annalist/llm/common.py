@@ -64,3 +64,43 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     """
     small = ids.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti")
+
+
+def keep_rows(docs: DataFrame, judged: DataFrame, version: Column, once: bool, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that ``judged`` does not keep; columns unchanged.
+
+    ``judged`` (doc_id, version, kept) has a row for each row of ``docs``, whose
+    ``version`` is a hash of what the judgement looked at.  An id none of whose
+    rows is kept goes by the id alone.  Ids with rows of both fates, which the id
+    cannot tell apart, and null ids go by id and version; with ``once`` so do ids
+    with several rows, and of rows alike in both one stays.
+    """
+    judged = materialise(judged, "judged")
+    known = "doc_id IS NOT NULL"
+    fates = materialise(
+        judged.filter(known)
+        .groupBy("doc_id")
+        .agg(F.max("kept").alias("some"), F.min("kept").alias("every"), F.count(F.lit(1)).alias("n"))
+        .filter("NOT every OR n > 1" if once else "NOT every")
+        .select("doc_id", "some"),
+        "fates",
+    )
+    apart = fates.filter("some").select("doc_id")
+    out = drop_ids(docs, fates.select(F.col("doc_id").alias(id_col)), id_col)
+    nameless = not judged.filter(f"NOT ({known})" if once else f"NOT kept AND NOT ({known})").isEmpty()
+    if nameless:
+        out = out.filter(F.col(id_col).isNotNull())
+    elif apart.isEmpty():
+        return out
+    taken = judged.filter("kept").join(apart, "doc_id", "left_semi")
+    again = docs.join(apart.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    if nameless:
+        taken = taken.unionByName(judged.filter(f"kept AND NOT ({known})"))
+        again = again.unionByName(docs.filter(F.col(id_col).isNull()))
+    taken = taken.select(F.col("doc_id").alias("_id_"), F.col("version").alias("_kept_")).distinct()
+    again = again.withColumn("_version_", version).join(
+        taken, F.col(id_col).eqNullSafe(F.col("_id_")) & (F.col("_version_") == F.col("_kept_"))
+    )
+    if once:
+        again = again.dropDuplicates([id_col, "_version_"])
+    return out.unionByName(again.select(*docs.columns))

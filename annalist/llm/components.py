@@ -48,9 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     stars = materialise(stars.mapInArrow(_local_union_find, "u long, v long"), "edges")
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that both sides of the joins come by shuffles of their own and a hot node can be split
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "large")
+        down = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import UPPER, drop_ids, lower_ascii, materialise
+from annalist.llm.common import UPPER, keep_rows, lower_ascii, materialise
 
 SALTS = 16
 
@@ -78,9 +78,16 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, the one with the largest id; columns unchanged."""
-    copies = exact_dedup(docs, id_col, text_col).filter("not kept").select(id_col)
-    return drop_ids(docs, materialise(copies, "exact_copies"), id_col)
+    """``docs`` with one row of each text, one of those with the largest id; columns unchanged.
+
+    Rows go by their own text, so an id that repeats with two texts loses none
+    of them, and of rows alike in id and text one stays.
+    """
+    judged = exact_dedup(docs, id_col, text_col).select(
+        F.col(id_col).alias("doc_id"), F.xxhash64("text_sha256").alias("version"), "kept"
+    )
+    norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    return keep_rows(docs, judged, F.xxhash64(F.sha2(norm, 256)), once=True, id_col=id_col)
 
 
 def oracle_sql() -> str:

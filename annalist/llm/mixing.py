@@ -52,9 +52,10 @@ def _fill(nodes: DataFrame, parent: list[str]) -> DataFrame:
     order of room by weight, the water level is the largest over the children of
     (budget - room of those before) / (weight of this and those after).
     """
-    order = [F.col("room") / F.col("weight"), *[F.col(c) for c in LEVELS[: len(parent) + 1]]]
+    order: list[Column] = [F.col("room") / F.col("weight"), *[F.col(c) for c in LEVELS[: len(parent) + 1]]]
     before = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*parent).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # this one and those after, as a running sum from the other end: one addition a row
+    after = Window.partitionBy(*parent).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     level = (F.col("parent_budget") - F.coalesce(F.sum("room").over(before), F.lit(0))) / F.sum("weight").over(after)
     return (
         nodes.withColumn("level", level)

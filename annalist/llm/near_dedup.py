@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import drop_ids, materialise
+from annalist.llm.common import keep_rows, materialise
 from annalist.llm.components import components
 from annalist.llm.superminhash import band_keys, short_signature, signatures
 from annalist.llm.textnum import LOWER, SPACE_SEP, Words, mix64, text_chunks, window_hashes
@@ -47,6 +47,7 @@ def _sketch(k: int):
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
+            ("version", pa.int64()),
             ("n_shingles", pa.int64()),
             ("fp", pa.int64()),
             ("fp2", pa.int64()),
@@ -76,6 +77,7 @@ def _sketch(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
+                        batch.column(2).slice(lo, hi - lo),
                         pa.array(counts),
                         *fps,
                         lists,
@@ -84,7 +86,7 @@ def _sketch(k: int):
                     schema=schema,
                 )
 
-    return run, "doc_id long, n_shingles long, fp long, fp2 long, keys array<long>, sig binary"
+    return run, "doc_id long, version long, n_shingles long, fp long, fp2 long, keys array<long>, sig binary"
 
 
 def _sharp_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,7 @@ def _buckets(keys: DataFrame, name: str) -> DataFrame:
     """(key, rep, leader, size) of buckets with two members or more; ``keys`` has rep and the list keys."""
     rows = keys.select("rep", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return materialise(rows.join(sizes, "key"), name)
+    return materialise(rows.join(materialise(sizes, f"{name}_sizes"), "key"), name)  # so that a hot key can be split
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
@@ -286,16 +288,30 @@ def near_dedup(
     5. Links are grouped by union-find.
 
     Texts without words have an empty set, link with nothing and stay; rows with
-    a null id have a null component and stay; rows that repeat an id are alike;
-    an empty table gives no rows; other columns are ignored.
+    a null id have a null component and stay; rows that repeat an id are
+    judged each by its own text, and what is linked to one of them is in the
+    component of their id; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return judged(docs, percent, shingle, id_col, text_col).drop("version")
+
+
+def judged(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """The result of ``near_dedup``, with ``version``, a hash of each row's text."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version")
+    )
     run, schema = _sketch(shingle)
     sketches = materialise(rows.mapInArrow(run, schema), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select("rep").distinct()
-    keys = known.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+    # a class's representative: the smallest id, and of its texts in the class one
+    classes = (
+        known.groupBy("fp", "fp2", "n_shingles")
+        .agg(F.min(F.struct("doc_id", "version")).alias("least"))
+        .select("fp", "fp2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.version").alias("version"))
+    )
+    row = ["doc_id", "version"]
+    reps = materialise(classes.select(F.col("rep").alias("doc_id"), "version"), "reps")
+    keys = known.join(reps, row, "left_semi").dropDuplicates(row)
     buckets = _buckets(keys.select(F.col("doc_id").alias("rep"), "keys"), "buckets")
 
     best = (
@@ -308,17 +324,17 @@ def near_dedup(
     )
     hot = buckets.filter(F.col("size") > SMALL).select("rep").distinct()
     sharp = (
-        known.select(F.col("doc_id").alias("rep"), "sig")
+        keys.select(F.col("doc_id").alias("rep"), "sig")
         .join(hot, "rep", "left_semi")
-        .dropDuplicates(["rep"])
         .mapInArrow(_sharp_keys, "rep long, keys array<long>")
     )
     candidates = _pairs(buckets).unionByName(_pairs(_buckets(sharp, "sharp_buckets"))).distinct()
 
-    paired = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    paired = reps.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     run, schema = _sets(shingle)
     sets = materialise(
-        rows.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, schema), "sets"
+        rows.join(paired, row, "left_semi").dropDuplicates(row).select("doc_id", "text").mapInArrow(run, schema),
+        "sets",
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -347,16 +363,17 @@ def near_dedup(
 
     # written, so that both sides of the last join come by a shuffle of their own and a hot class can be split
     placed = materialise(
-        classes.join(groups, classes.rep == groups.node, "left").select(
+        classes.drop("version").join(groups, F.col("rep") == F.col("node"), "left").select(
             "fp", "fp2", "n_shingles", F.coalesce("root", "rep").alias("component")
         ),
         "classes",
     )
     return (
-        sketches.select("doc_id", "n_shingles", "fp", "fp2")
+        sketches.select("doc_id", "version", "n_shingles", "fp", "fp2")
         .join(placed, ["fp", "fp2", "n_shingles"], "left")
         .select(
             "doc_id",
+            "version",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         )
@@ -365,9 +382,12 @@ def near_dedup(
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; columns unchanged."""
-    copies = near_dedup(docs, percent, id_col=id_col, text_col=text_col).filter("not kept")
-    return drop_ids(docs, materialise(copies.select(F.col("doc_id").alias(id_col)), "near_copies"), id_col)
+    """``docs`` with one document of each group, the one with the smallest id; columns unchanged.
+
+    Rows go by their own text: of an id that repeats with two texts, the one that is a copy goes and the other stays.
+    """
+    copies = judged(docs, percent, SHINGLE, id_col, text_col).select("doc_id", "version", "kept")
+    return keep_rows(docs, copies, F.xxhash64(text_col), once=False, id_col=id_col)
 
 
 def oracle_sql(percent: int = 85, shingle: int = SHINGLE) -> str:

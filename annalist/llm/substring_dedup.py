@@ -204,11 +204,13 @@ def substring_dedup(
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     run, schema = _anchors(window, anchor)
     anchors = materialise(known.mapInArrow(run, schema), "anchors")
-    shared = (
+    # written, so that the join's sides come by shuffles of their own and a hot anchor can be split
+    shared = materialise(
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .filter("lo < hi")
-        .select("anchor")
+        .select("anchor"),
+        "shared_anchors",
     )
     by_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     run, schema = _candidates(window, anchor)

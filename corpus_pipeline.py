@@ -11,24 +11,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm.common import documents, drop_ids, materialise, tune
+from annalist.llm.common import documents, materialise, tune
 from annalist.llm.exact_dedup import drop_exact_copies
 from annalist.llm.mixing import mixed_documents
 from annalist.llm.near_dedup import drop_near_copies
 from annalist.llm.packing import digest, pack
 from annalist.llm.queries import tokenizer_path
-from annalist.llm.toxicity import toxicity
+from annalist.llm.toxicity import drop_toxic
 
 #: Share of the tokens left that the mix takes; no document is taken twice.
 MIX_SHARE = 0.7
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents scored 0.5 or more; a row with a null id stays."""
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.filter("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return drop_ids(docs, materialise(rejected, "toxic"))
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
+    ("toxicity", toxic),
     ("exact_dedup", exact),
     ("near_dedup", near),
     ("mixing", mixing),

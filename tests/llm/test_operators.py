@@ -88,6 +88,30 @@ def test_exact_dedup_stage(spark, rows):
     assert {lower(t) for _, t, *_ in rows} == {lower(r.text) for r in kept.collect()}
 
 
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_exact_dedup_stage_goes_by_row(spark):
+    """Ids that repeat with two texts, rows that repeat, null ids: every text stays once."""
+    rows = [(1, "x"), (1, "y"), (5, "X"), (5, "X"), (9, "y"), (9, "only here"), (None, "x"), (None, "z"), (None, "z"), (7, None), (8, "")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    want = [(5, "X"), (9, "y"), (9, "only here"), (None, "z"), (8, "")]
+    assert kept_rows(exact_dedup.drop_exact_copies(docs)) == sorted(want, key=str)
+    assert kept_rows(exact_dedup.drop_exact_copies(docs.filter("doc_id > 1"))) == sorted(want[:3] + want[4:], key=str)
+
+
+def test_near_dedup_stage_goes_by_row(spark):
+    rng = random.Random(3)
+    x, y, z = (prose(rng, 100) for _ in range(3))
+    near = lambda text, i: " ".join([*text.split()[:-1], f"last{i}"])
+    rows = [(1, x), (1, y), (5, x), (5, z), (7, near(x, 7)), (8, near(y, 8)), (None, x), (None, x), (6, None), (6, "")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    got = near_dedup.drop_near_copies(docs)
+    assert kept_rows(got) == sorted([(1, x), (1, y), (5, z), (None, x), (None, x), (6, None), (6, "")], key=str)
+    assert got.columns == docs.columns
+
+
 # 1
 
 
@@ -460,6 +484,18 @@ def test_toxicity(spark):
     assert all(r.score == 0 for r in none)
 
 
+def test_toxicity_stage_goes_by_row(spark):
+    bad, good = "you utter moron and scum", "a kind word for the day"
+    rows = [(i, bad if i % 2 else good, "en", "s") for i in range(60)]
+    rows += [(100, bad, "en", "s"), (100, good, "en", "s"), (None, bad, "en", "s"), (None, good, "en", "s"), (101, None, "en", "s")]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = frame(spark, rows, ["predicted"])
+    got = toxicity.drop_toxic(docs, marks)
+    assert got.columns == docs.columns
+    assert Counter(r.text for r in got.collect()) == Counter({good: 32, None: 1})
+    assert got.filter("doc_id IS NULL OR doc_id = 100").count() == 2
+
+
 # 9
 
 
