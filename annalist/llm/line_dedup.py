@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from annalist.llm.common import id_and_text, materialise
 
 LEADING = 3
-SIMILAR = 0.5
+SIMILAR = 60  # in a hundred, so that of two free words both must agree
+ANCHORS = 2
 MIN_DOCS = 3
 SALTS = 16  # a recurring template meets its lines in so many parts
 WILD = "<*>"
@@ -34,10 +35,57 @@ def _of_lines(make) -> Column:
     return F.element_at(F.transform(F.array(F.split("text", "\n")), make), 1)
 
 
+def _belonging(variants: DataFrame, leading: int, similar: int, min_docs: int) -> DataFrame:
+    """(leaf, variant, template) of the variants that belong to their leaf's template."""
+    places = variants.select("leaf", "variant", "docs", F.posexplode("tokens").alias("position", "token")).filter(
+        (F.col("position") >= leading) & (F.col("token") != WILD)
+    )
+    words = places.select("leaf", "variant", "docs", "position", F.xxhash64("leaf", "position", "token").alias("word"))
+    # written, so that the join's sides come by shuffles of their own and a hot word can be split
+    shared = materialise(
+        words.groupBy("word")
+        .agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("forms"))
+        .filter((F.col("support") >= min_docs) & (F.col("forms") > 1))
+        .drop("forms"),
+        "shared_words",
+    )
+    best = F.sort_array(F.collect_list(F.struct("support", (-F.col("position")).alias("place"), "word")), asc=False)
+    anchored = materialise(
+        words.join(shared, "word")
+        .groupBy("leaf", "variant")
+        .agg(F.slice(best, 1, ANCHORS).alias("best"))
+        .select("leaf", "variant", F.xxhash64(F.col("best.word")).alias("template")),
+        "anchored",
+    )
+    placed = variants.join(anchored, ["leaf", "variant"])
+    templates = (
+        placed.select("template", "docs", F.posexplode("tokens").alias("position", "token"))
+        .filter(F.col("position") >= leading)
+        .groupBy("template", "position", "token")
+        .agg(F.sum("docs").alias("docs"))
+        .groupBy("template", "position")
+        .agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
+        .groupBy("template")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("position", F.when(F.col("top.docs") * 2 >= F.col("all"), F.col("top.token")).alias("token")))
+            ).alias("line")
+        )
+    )
+    free = F.slice("tokens", leading + 1, F.greatest(F.size("tokens") - leading, F.lit(0)))
+    agreeing = F.size(F.filter(F.zip_with(free, F.col("line.token"), lambda a, b: (a != WILD) & a.eqNullSafe(b)), lambda x: x))
+    words_of = F.size(F.filter(free, lambda x: x != WILD))
+    return (
+        placed.join(materialise(templates, "templates"), "template")
+        .filter(agreeing * 100 >= words_of * similar)
+        .select("leaf", "variant", "template")
+    )
+
+
 def line_dedup(
     docs: DataFrame,
     leading: int = LEADING,
-    similar: float = SIMILAR,
+    similar: int = SIMILAR,
     min_docs: int = MIN_DOCS,
     keep_first: bool = True,
     id_col: str = "doc_id",
@@ -45,17 +93,24 @@ def line_dedup(
 ) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, dropped (line numbers from 0), kept_text.
 
-    The tree has a fixed depth: a line goes down by its number of tokens, then by
-    its ``leading`` first tokens, to a leaf.  Tokens with a digit, an @ or a ://
-    are generalised before.  A leaf's template keeps a position's most frequent
-    token if at least half of the leaf's lines (each counted once per document)
-    have it there, and has a wildcard elsewhere.  Lines that agree with the
-    template in at least ``similar`` of their tokens belong to it; another line
-    is a template of its own.  A template found in ``min_docs`` documents
-    recurs: its lines are dropped, but for the first of the smallest document
-    (``keep_first``), so that no passage vanishes altogether.
-
-    Only lines of leaves that two documents share are looked at token by token;
+    Tokens with a digit, an @ or a :// are generalised first; the others are
+    words.  The tree has a fixed depth: a line goes down by its number of tokens,
+    by its ``leading`` first tokens, and then by two of its further words, those
+    that most documents have at the same place of the same branch (at least
+    ``min_docs``, in two different lines; ties: the earlier place; one word, if
+    no second is shared).  So a branch holds as many templates as there are such
+    pairs of words, whatever else it holds.  A leaf's template has a place's most
+    frequent token if at least half of the leaf's lines (each counted once per
+    document) have it there, and a wildcard elsewhere.  A line belongs to it if
+    at least ``similar`` in a hundred of the line's words *after the leading
+    tokens* stand in the template; generalised tokens and wildcards say nothing.
+    Any other line is a template of its own, and so is a line whose further words
+    no other line shares.  A template found in ``min_docs`` documents recurs: its
+    lines are dropped, but for the first of the smallest document
+    (``keep_first``), so that no passage vanishes altogether.  A line without any
+    word has no template and stays.
+
+    Only lines of branches that two documents share are looked at token by token;
     all others go by two numbers.  No leaf is gathered: its counts combine.
 
     Lines end at line feeds.  Blank lines and null texts have no template; a row
@@ -91,40 +146,27 @@ def line_dedup(
 
         return F.transform("ats", one)
 
-    found = known.join(looked_at, ["doc_id", "version"]).select("doc_id", "version", F.inline(_of_lines(marked)))
-    variants = (
-        found.select("leaf", "masked", "doc_id")
+    has_word = F.regexp_replace("masked", r"<\*>| ", "") != ""
+    found = materialise(
+        known.join(looked_at, ["doc_id", "version"])
+        .select("doc_id", "version", F.inline(_of_lines(marked)))
+        .filter(has_word)
+        .withColumn("variant", F.xxhash64("masked")),
+        "found_lines",
+    )
+    variants = materialise(
+        found.select("leaf", "variant", "masked", "doc_id")
         .distinct()
-        .groupBy("leaf", "masked")
+        .groupBy("leaf", "variant", "masked")
         .agg(F.count(F.lit(1)).alias("docs"))
-        .select("leaf", "docs", F.xxhash64("masked").alias("variant"), F.split("masked", " ").alias("tokens"))
-    )
-    votes = (
-        variants.select("leaf", "docs", F.posexplode("tokens").alias("position", "token"))
-        .groupBy("leaf", "position", "token")
-        .agg(F.sum("docs").alias("docs"))
-        .groupBy("leaf", "position")
-        .agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
-    )
-    templates = votes.groupBy("leaf").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "position",
-                    F.when(F.col("top.docs") * 2 >= F.col("all"), F.col("top.token")).otherwise(F.lit(WILD)).alias("token"),
-                )
-            )
-        ).alias("template")
-    )
-    agreeing = F.size(F.filter(F.zip_with("tokens", F.col("template.token"), lambda a, b: a == b), lambda x: x))
-    named = variants.join(templates, "leaf").select(
-        "leaf",
-        "variant",
-        F.when(agreeing >= F.size("tokens") * F.lit(similar), F.lit(0)).otherwise(F.col("variant")).alias("template"),
-    )
-    members = found.select("doc_id", "version", "at", "leaf", F.xxhash64("masked").alias("variant")).join(
-        named, ["leaf", "variant"]
+        .select("leaf", "variant", "docs", F.split("masked", " ").alias("tokens")),
+        "variants",
     )
+    named = variants.join(
+        _belonging(variants, leading, similar, min_docs).withColumnRenamed("template", "leafs"), ["leaf", "variant"], "left"
+    ).select("leaf", "variant", "docs", F.coalesce("leafs", "variant").alias("template"), F.col("leafs").isNotNull().alias("several"))
+    named = materialise(named.filter(F.col("several") | (F.col("docs") >= min_docs)).drop("docs"), "named")
+    members = found.select("doc_id", "version", "at", "leaf", "variant").join(named, ["leaf", "variant"]).drop("several")
     place = F.struct("doc_id", "at", "version")
     recurring = (
         members.groupBy("leaf", "template", "doc_id")
@@ -174,7 +216,7 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def oracle_sql(leading: int = LEADING, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> str:
+def oracle_sql(leading: int = LEADING, similar: int = SIMILAR, min_docs: int = MIN_DOCS) -> str:
     return f"""
     WITH lines AS MATERIALIZED (
         SELECT doc_id, i - 1 AS at_, ls[i] AS line,
@@ -185,26 +227,36 @@ def oracle_sql(leading: int = LEADING, similar: float = SIMILAR, min_docs: int =
     ), found AS MATERIALIZED (
         SELECT *, len(tokens) || ' ' || array_to_string(tokens[:{leading}], ' ') AS leaf,
                array_to_string(tokens, ' ') AS variant
-        FROM lines WHERE len(tokens) > 0
-    ), shared AS (
-        SELECT leaf FROM found GROUP BY leaf HAVING min(doc_id) < max(doc_id) AND count(*) >= {min_docs}
+        FROM lines WHERE len(list_filter(tokens, lambda t: t <> '{WILD}')) > 0
     ), variants AS MATERIALIZED (
-        SELECT leaf, variant, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS docs
-        FROM found SEMI JOIN shared USING (leaf) GROUP BY leaf, variant
+        SELECT leaf, variant, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS docs FROM found GROUP BY leaf, variant
+    ), places AS MATERIALIZED (
+        SELECT leaf, variant, docs, p, tokens[p] AS token
+        FROM variants, LATERAL (SELECT unnest(range({leading + 1}, len(tokens) + 1)) AS p)
+    ), shared AS (
+        SELECT leaf, p, token, sum(docs) AS support FROM places WHERE token <> '{WILD}' GROUP BY leaf, p, token
+        HAVING sum(docs) >= {min_docs} AND count(*) > 1
+    ), ranked AS (
+        SELECT leaf, variant, p, token, row_number() OVER (PARTITION BY leaf, variant ORDER BY support DESC, p) AS r
+        FROM places JOIN shared USING (leaf, p, token)
+    ), anchored AS MATERIALIZED (
+        SELECT leaf, variant, string_agg(p || ' ' || token, ' ' ORDER BY r) AS anchors
+        FROM ranked WHERE r <= {ANCHORS} GROUP BY leaf, variant
     ), votes AS (
-        SELECT leaf, p, tokens[p] AS token, sum(docs) AS docs
-        FROM variants, LATERAL (SELECT unnest(range(1, len(tokens) + 1)) AS p) GROUP BY leaf, p, token
-    ), tops AS (
-        SELECT leaf, p, CASE WHEN max(docs) * 2 >= sum(docs) THEN arg_max(token, (docs, token)) ELSE '{WILD}' END AS token
-        FROM votes GROUP BY leaf, p
-    ), templates AS (SELECT leaf, list(token ORDER BY p) AS template FROM tops GROUP BY leaf),
-    named AS (
-        SELECT leaf, variant,
-               CASE WHEN len(list_filter(list_zip(tokens, template), lambda x: x[1] = x[2])) >= len(tokens) * {similar}
-                    THEN '' ELSE variant END AS template
-        FROM variants JOIN templates USING (leaf)
-    ), members AS (SELECT doc_id, at_, leaf, n.template FROM found JOIN named n USING (leaf, variant)),
-    recurring AS (
+        SELECT leaf, anchors, p, token, sum(docs) AS docs FROM places JOIN anchored USING (leaf, variant) GROUP BY ALL
+    ), tops AS MATERIALIZED (
+        SELECT leaf, anchors, p, arg_max(token, (docs, token)) AS top FROM votes
+        GROUP BY leaf, anchors, p HAVING max(docs) * 2 >= sum(docs)
+    ), belonging AS (
+        SELECT leaf, variant, any_value(anchors) AS anchors
+        FROM places JOIN anchored USING (leaf, variant) LEFT JOIN tops USING (leaf, anchors, p)
+        GROUP BY leaf, variant
+        HAVING count(*) FILTER (WHERE token <> '{WILD}' AND token = top) * 100
+               >= count(*) FILTER (WHERE token <> '{WILD}') * {similar}
+    ), members AS (
+        SELECT doc_id, at_, leaf, coalesce('+' || anchors, '=' || f.variant) AS template
+        FROM found f LEFT JOIN belonging USING (leaf, variant)
+    ), recurring AS (
         SELECT leaf, template, min((doc_id, at_)) AS first FROM members GROUP BY leaf, template
         HAVING count(DISTINCT doc_id) >= {min_docs}
     ), gone AS (

@@ -269,6 +269,100 @@ def test_line_dedup_leaves_different_lines(spark):
     assert all(r.n_dropped == 0 for r in got)
 
 
+def letters(rng, n, size=3, alphabet="abcdefgh"):
+    """Words without digits."""
+    return " ".join("".join(rng.choice(alphabet) for _ in range(size)) for _ in range(n))
+
+
+def template_truth(rows, min_docs=3):
+    """{(row, line)} that go, by plain Python: ``rows`` are (doc_id, text)."""
+    lines = []  # (doc, at, row, masked tokens)
+    for row, (doc, text) in enumerate(rows):
+        for at, line in enumerate(text.split("\n")):
+            tokens = tuple("<*>" if re.search("[0-9@]|://", w) else w for w in words(line))
+            if any(t != "<*>" for t in tokens):
+                lines.append((doc, at, row, tokens))
+    docs = {}  # of each form
+    for doc, _, _, tokens in lines:
+        docs.setdefault(tokens, set()).add(doc)
+    branch = lambda t: (len(t), t[:3])
+    support, forms = Counter(), Counter()
+    for t, who in docs.items():
+        for p in range(3, len(t)):
+            if t[p] != "<*>":
+                support[branch(t), p, t[p]] += len(who)
+                forms[branch(t), p, t[p]] += 1
+    leaf = {}
+    for t in docs:
+        shared = [(-support[branch(t), p, t[p]], p) for p in range(3, len(t)) if forms[branch(t), p, t[p]] > 1 and support[branch(t), p, t[p]] >= min_docs]
+        leaf[t] = (branch(t), tuple((p, t[p]) for _, p in sorted(shared)[:2])) if shared else None
+    template = {}
+    for t in docs:
+        if leaf[t]:
+            mates = [u for u in docs if leaf[u] == leaf[t]]
+            agree = free = 0
+            for p in range(3, len(t)):
+                votes = Counter()
+                for u in mates:
+                    votes[u[p]] += len(docs[u])
+                top = max(votes, key=lambda w: (votes[w], w))
+                free += t[p] != "<*>"
+                agree += t[p] != "<*>" and t[p] == top and 2 * votes[top] >= sum(votes.values())
+            template[t] = leaf[t] if 100 * agree >= 60 * free else t
+        else:
+            template[t] = t
+    groups = {}
+    for doc, at, row, t in lines:
+        groups.setdefault(template[t], []).append((doc, at, row))
+    gone = set()
+    for members in groups.values():
+        if len({doc for doc, *_ in members}) >= min_docs:
+            gone |= {(row, at) for doc, at, row in members if (doc, at) != min(members)[:2]}
+    return gone
+
+
+def dropped_lines(spark, rows):
+    got = line_dedup.line_dedup(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert len(got) == len(rows)
+    row_of = {i: r for r, (i, _) in enumerate(rows)}
+    return {(row_of[r.doc_id], at) for r in got for at in r.dropped}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(21)
+    pick = lambda *w: rng.choice(w)
+    makers = [
+        lambda: f"The cat sat {pick('on', 'under', 'beside')} {pick('a', 'my', 'your')} {pick('mat', 'chair', 'dog')}",
+        lambda: f"User {pick('ann', 'bob', 'cy')} has logged in from {pick('home', 'work', 'abroad', 'afar')} today",
+        lambda: f"User {pick('ann', 'bob', 'cy')} has removed group {pick('red', 'blue', 'green')} from list",
+        lambda: f"Read more about {pick('war', 'peace', 'love', '17', 'a@b')}",
+        lambda: f"{rng.randrange(9)} of {pick('5', 'five')} {pick('x', '1')}",
+        lambda: f"start of the {letters(rng, 3, 1)} end {prose(rng, 1, 3)}",
+        lambda: "short",
+        lambda: letters(rng, 5, 1, 'ab'),
+        lambda: " ",
+    ]
+    rows = [(i, "\n".join(pick(*makers)() for _ in range(rng.randrange(1, 6)))) for i in range(90)]
+    assert dropped_lines(spark, rows) == template_truth(rows) != set()
+
+
+def test_line_dedup_keeps_short_lines_that_differ(spark):
+    """Lines of few words agree in their leading ones by construction; only the words after those count."""
+    rows = [(i, t) for i, t in enumerate(["The cat sat on a mat", "The cat sat under my chair", "The cat sat beside your dog"])]
+    rows += [(10 + i, f"Thor the haan {w}.") for i, w in enumerate(["eaesing", "for", "eron", "ash"])]
+    rows += [(20 + i, f"2024-01-0{i} 12:0{i}") for i in range(5)]  # no word at all
+    assert dropped_lines(spark, rows) == set()
+
+
+def test_line_dedup_finds_several_templates_of_one_branch(spark):
+    """Two templates and many unrelated lines, all of one number of tokens and the same first three."""
+    rng = random.Random(2)
+    rows = [(i, f"On this day {letters(rng, 1, 9)} was born in the city") for i in range(6)]
+    rows += [(10 + i, f"On this day {letters(rng, 1, 9)} did lose at the polls") for i in range(6)]
+    rows += [(100 + i, f"On this day {letters(rng, 6, 9)}") for i in range(80)]
+    assert dropped_lines(spark, rows) == {(r, 0) for r in [*range(1, 6), *range(7, 12)]}
+
+
 # 3
 
 
