@@ -19,6 +19,7 @@ END = np.int64(-6148914691236517206)  # stands for the end among the word hashes
 TABLE_ENTRIES = 8_000_000  # of the model sent to the executors at a time (200 MB as a table)
 HOT_WORDS = 200_000
 HOLD = 4_000_000
+WEIGHED_AT_ONCE = 1 << 16  # grams, and the rest of the last one's group
 
 
 def held_out(doc_id, folds: int = 10):
@@ -105,32 +106,41 @@ def _weigh(depth: int, split: int):
         ]
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        gram = table.column("key").to_numpy().view(np.uint64)
-        g = Group(gram, table.column("count").to_numpy(), depth, split)
-        rows = g.p.astype("<f4")
+    def weigh(gram: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g = Group(gram, count, depth, split)
         n, m = len(gram), len(g.top_node)
-        below = pa.Table.from_arrays(
+        body = np.ascontiguousarray(g.p.astype("<f4")).view("V32").reshape(-1)
+        yield pa.RecordBatch.from_arrays(
             [
                 pa.array(gram.view(np.int64)),
-                pa.array([r.tobytes() for r in rows], pa.binary()),
+                pa.array(body.tolist(), pa.binary()),
                 pa.nulls(n, pa.int64()),
                 *(pa.nulls(n, pa.float64()) for _ in range(3)),
             ],
             schema=schema,
         )
-        top = pa.Table.from_arrays(
-            [
-                pa.nulls(m, pa.int64()),
-                pa.nulls(m, pa.binary()),
-                pa.array(g.top_node.view(np.int64)),
-                pa.array(g.top_zeros),
-                pa.array(g.top_ones),
-                pa.array(g.top_log),
-            ],
-            schema=schema,
-        )
-        return pa.concat_tables([below, top])
+        top = [pa.array(g.top_node.view(np.int64)), pa.array(g.top_zeros), pa.array(g.top_ones), pa.array(g.top_log)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *top], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their contexts' last bytes; whole groups of those are weighed, many small ones at once."""
+        grams, counts, held = [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams.append(batch.column(0).to_numpy().view(np.uint64))
+            counts.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held < WEIGHED_AT_ONCE:
+                continue
+            gram, count = np.concatenate(grams), np.concatenate(counts)
+            suffix = (gram >> U(8)) & U((1 << 8 * split) - 1)
+            cut = int(np.flatnonzero(suffix != suffix[-1])[-1]) + 1 if (suffix != suffix[-1]).any() else 0
+            if cut:
+                yield from weigh(gram[:cut], count[:cut])
+            grams, counts, held = [gram[cut:]], [count[cut:]], len(gram) - cut
+        if held:
+            yield from weigh(np.concatenate(grams), np.concatenate(counts))
 
     return run, "gram long, p binary, node long, zeros double, ones double, log_w double"
 
@@ -268,7 +278,11 @@ def lm_score(
     split = min(SPLIT, depth)
     run, schema = _weigh(depth, split)
     weighed = materialise(
-        gram_counts.select("key", "count", _suffix(F.col("key"), split).alias("suffix")).groupBy("suffix").applyInArrow(run, schema),
+        gram_counts.select("key", "count", _suffix(F.col("key"), split).alias("suffix"))
+        .repartition("suffix")
+        .sortWithinPartitions("suffix")
+        .select("key", "count")
+        .mapInArrow(run, schema),
         "lm_nodes",
     )
     tops = (
