@@ -94,6 +94,56 @@ def prompt(mode: str, question: Column, context: Column) -> Column:
     return F.concat(F.lit(_ASK[mode] + "\n\nContext:\n"), context, F.lit(f"\n\n{subject}: "), question, F.lit("\n"))
 
 
+def retrying(writer: Writer, fallback: Writer | None = None, attempts: int = 5, wait: float = 5.0, again: Callable[[Exception], bool] | None = None) -> Writer:
+    """A writer that loses no batch to one failure.
+
+    A batch that fails is asked again prompt by prompt.  An error that ``again``
+    takes for a passing one (by default: status 429, or a quota) is waited out,
+    ``wait`` seconds and twice as long each time, up to ``attempts`` times; then,
+    and after any other error, the prompt goes to ``fallback``; where that fails
+    too, or is none, the answer is empty.
+    """
+    import time
+
+    def passing(e: Exception) -> bool:
+        return any(x in str(e).lower() for x in ("429", "resource_exhausted", "quota"))
+
+    def one(prompt: str) -> str:
+        for attempt in range(attempts):
+            try:
+                return str(writer(pd.Series([prompt])).iloc[0])
+            except Exception as e:
+                if not (again or passing)(e) or attempt + 1 == attempts:
+                    break
+                time.sleep(wait * 2**attempt)
+        try:
+            return "" if fallback is None else str(fallback(pd.Series([prompt])).iloc[0])
+        except Exception:
+            return ""
+
+    def write(prompts: pd.Series) -> pd.Series:
+        try:
+            return writer(prompts)
+        except Exception:
+            return pd.Series([one(p) for p in prompts], index=prompts.index, dtype=object)
+
+    return write
+
+
+def cached_scores(candidates: DataFrame, cache: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
+    """(candidates plus score, new cache rows): each distinct question and text not in ``cache`` (score_key, score) is scored once."""
+    keyed = candidates.withColumn("score_key", F.sha2(F.concat_ws("\x1f", "query", "text"), 256))
+    misses = keyed.join(cache.select("score_key"), "score_key", "left_anti").dropDuplicates(["score_key"]).select("score_key", "query", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[["score_key"]].assign(score=scorer(rows["query"], rows["text"]).to_numpy(dtype=float))
+
+    fresh = misses.mapInPandas(run, "score_key string, score double")
+    known = cache.select("score_key", "score").unionByName(fresh)
+    return keyed.drop("score").join(known, "score_key").drop("score_key"), fresh
+
+
 def write_answers(prompts: DataFrame, writer: Writer | None = None) -> DataFrame:
     """``prompts`` plus answer; without a writer the answer is empty."""
     if writer is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as X
 from annalist.functions.fuzzy import token_sort_similarity
+from annalist.sources import sinks
 
 #: Technology names, matched as whole words in any case.
 TECHNOLOGIES = (
@@ -18,6 +19,7 @@ TECHNOLOGIES = (
     "github[ ]actions ci/cd pytest jest mypy ruff black asyncio aiohttp httpx requests pydantic sqlmodel sqlalchemy "
     "langchain llamaindex openai anthropic ollama mistral ragas mlflow weights\\s?&\\s?biases w&b"
 ).split()
+HEAD = 3  # characters of a word that a prefix search goes by
 TECH_PATTERN = r"(?i)\b(" + "|".join(TECHNOLOGIES) + r")\b"
 
 #: Labels of a named-entity model to ours; others pass through.
@@ -74,7 +76,7 @@ def resolve_exact(found: DataFrame, registry: DataFrame | None = None, order: li
     names = (
         registry.select("canonical_name", "seq", F.explode(F.array_union(F.array("canonical_name"), F.col("aliases"))).alias("alias"))
         .groupBy(F.lower("alias").alias("key"))
-        .agg(F.min_by("canonical_name", "seq").alias("old_name"))
+        .agg(F.min(F.struct("seq", "canonical_name"))["canonical_name"].alias("old_name"))
     )
     return (
         keyed.join(firsts, "key")
@@ -88,66 +90,111 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float = 85.0) -> Data
     """(a, b, score) of names at least ``cutoff`` alike; both sides have one column ``name``.
 
     Similarity is 200 * common / (sum of lengths), over the names' sorted words.
-    Names so alike are nearly as long and share two neighbouring characters, so
-    pairs come from an equi-join on those, and only pairs of fitting lengths are
-    compared.
+    Let k characters be common of la + lb: no more than la + lb - 2k others can
+    part neighbours, so 3k - 1 - (la + lb) pairs of neighbouring characters stand
+    in both names.  Of a name's pairs, in order of rarity, all but as many as may
+    be missing are therefore looked up; where that bound says nothing (short
+    names, low cutoffs) single characters are looked up as well.  Common pairs of
+    characters are never joined on, unless a name has no others.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, 2)))
-    a = left.select(F.col("name").alias("a")).distinct().withColumn("gram", F.explode(grams(F.col("a"))))
-    b = right.select(F.col("name").alias("b")).distinct().withColumn("gram", F.explode(grams(F.col("b"))))
-    la, lb = F.length("a"), F.length("b")
-    near = 200 * F.least(la, lb) >= cutoff * (la + lb)
+    share = 1.5 * cutoff / 100 - 1  # of la + lb, that is the least number of common pairs, plus 1
+    longest = 2 / share if share > 0.05 else float("inf")  # the bound says something for longer names together
+    words = F.filter(F.split(F.trim("name"), r"\s+"), lambda w: w != "")
+
+    def keyed(names: DataFrame, out: str) -> DataFrame:
+        rows = names.filter("name IS NOT NULL").select(F.col("name").alias(out), F.array_join(F.array_sort(words), " ").alias("s")).distinct()
+        size = F.length("s")
+        pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring("s", i, F.lit(2))))
+        single = F.when(size <= longest, F.filter(F.split("s", ""), lambda c: c != ""))
+        none = F.array().cast("array<string>")
+        return rows.select(out, size.alias("size"), F.array_distinct(F.coalesce(pairs, none)).alias("pairs"), F.array_distinct(F.coalesce(single, none)).alias("single"))
+
+    a, b = keyed(left, "a"), keyed(right, "b")
+    both = a.select("a", F.explode("pairs").alias("gram")).unionByName(b.select(F.col("b").alias("a"), F.explode("pairs").alias("gram")))
+    often = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(rows: DataFrame, out: str) -> DataFrame:
+        # the shortest partner makes the sum of lengths least; repeated pairs count once here, so as many more may be missing
+        least = F.floor(F.lit(share) * F.col("size") * (2 / (2 - cutoff / 100)) - 1 - F.lit(1e-9))
+        repeats = F.col("size") - 1 - F.size("pairs")
+        keep = F.greatest(F.size("pairs") - F.greatest(least - repeats, F.lit(1)) + 1, F.lit(1)).cast("int")
+        ranked = (
+            rows.select(out, "size", "pairs", F.explode("pairs").alias("gram"))
+            .join(often, "gram")
+            .groupBy(out, "size", "pairs")
+            .agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+            .select(out, "size", F.explode(F.slice(F.col("g.gram"), 1, keep)).alias("gram"))
+        )
+        return ranked.unionByName(rows.select(out, "size", F.explode("single").alias("gram")))
+
+    near = 200 * F.least("a.size", "b.size") >= F.lit(cutoff) * (F.col("a.size") + F.col("b.size"))
     return (
-        a.join(b, "gram")
+        rare(a, "a").alias("a")
+        .join(rare(b, "b").alias("b"), F.col("a.gram") == F.col("b.gram"))
         .filter(near & (F.col("a") != F.col("b")))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .select("a", "b")
+        .distinct()
         .withColumn("score", token_sort_similarity("a", "b"))
         .filter(F.col("score") >= cutoff)
-        .select("a", "b", "score")
     )
 
 
 def resolve_fuzzy(surfaces: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """(surface, canonical_name) by one fold over distinct surfaces in order of ``seq``.
-
-    Each surface takes the best name or alias at ``cutoff`` or above found so
-    far, and becomes its alias, or else is a name of its own.  The order matters
-    and cannot be split, so the vocabulary (distinct surfaces, not mentions) is
-    folded in one group.
+    """(surface, canonical_name) of (surface, seq), in order of ``seq``.
+
+    Each surface takes the name of the most alike earlier surface at ``cutoff``
+    or above (ties: the earliest), without regard to case, or else is a name of
+    its own.  An earlier surface counts whether it was new itself or an alias, so
+    each surface has one predecessor, whatever became of that, and names are
+    found by following predecessors: a join of alike pairs, then jumps that
+    double, with no fold over the vocabulary.
     """
-    import pandas as pd
-
-    from annalist.functions.fuzzy import token_sort_ratio
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, str] = {}  # surface (lower) to canonical
-        out = []
-        for surface in rows.sort_values(["seq", "surface"])["surface"]:
-            name = known.get(surface.lower())
-            if name is None:
-                best = max(((token_sort_ratio(surface.lower(), k), c) for k, c in known.items()), default=(0.0, ""), key=lambda x: x[0])
-                name = best[1] if best[0] >= cutoff else surface
-                known[surface.lower()] = name
-            out.append((surface, name))
-        return pd.DataFrame(out, columns=["surface", "canonical_name"])
+    turn = F.struct("seq", "surface")
+    firsts = sinks.written(
+        surfaces.filter("surface IS NOT NULL").groupBy(F.lower("surface").alias("name")).agg(F.min(turn).alias("turn")), "surfaces"
+    )
+    pairs = fuzzy_pairs(firsts.select("name"), firsts.select("name"), cutoff)
+    places = [firsts.select(F.col("name").alias(c), F.col("turn").alias(f"turn_{c}")) for c in "ab"]
+    before = (
+        pairs.join(places[0], "a")
+        .join(places[1], "b")
+        .filter("turn_b < turn_a")
+        .groupBy("a")
+        .agg(F.min(F.struct((-F.col("score")).alias("far"), "turn_b", "b")).alias("best"))
+        .select(F.col("a").alias("name"), F.col("best.b").alias("up"))
+    )
+    step = sinks.written(
+        firsts.join(before, "name", "left").select("name", F.coalesce("up", "name").alias("up")), "predecessors"
+    )
+    while True:
+        above = step.select(F.col("name").alias("up"), F.col("up").alias("top"))
+        jumped = sinks.written(step.join(above, "up").select("name", F.col("top").alias("up")), "predecessors")
+        if jumped.join(step.withColumnRenamed("up", "old"), "name").filter("up <> old").isEmpty():
+            break
+        step = jumped
+    named = step.join(firsts.select(F.col("name").alias("up"), F.col("turn.surface").alias("canonical_name")), "up")
+    return surfaces.join(named.select("name", "canonical_name"), F.lower("surface") == F.col("name")).select("surface", "canonical_name")
 
-    return surfaces.withColumn("_all_", F.lit(0)).groupBy("_all_").applyInPandas(fold, "surface string, canonical_name string")
 
+def register(resolved: DataFrame, batch: int = 0) -> DataFrame:
+    """Registry rows of resolved mentions: aliases and documents as sorted sets; the first label stays.
 
-def register(resolved: DataFrame) -> DataFrame:
-    """Registry rows of resolved mentions: aliases and documents as sorted sets; the first label stays."""
+    ``seq`` is the number of the batch that brought the entity, for the order of searches; within a batch names decide.
+    """
     order = F.struct("doc_id", "turn", "position")
     return resolved.groupBy("canonical_name").agg(
         F.min_by("label", order).alias("entity_type"),
         F.sort_array(F.collect_set(F.when(F.trim("surface") != F.col("canonical_name"), F.trim("surface")))).alias("aliases"),
         F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("doc_ids"),
-        F.min(F.xxhash64("canonical_name")).alias("seq"),
+        F.lit(batch).cast("long").alias("seq"),
     )
 
 
 def merge_registry(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Union of two registries by name: sets united, the older type kept, the newly touched ordered last."""
+    """Union of two registries by name: sets united, the older type kept.
+
+    The newly touched come last where ``new`` was registered with a later batch's number.
+    """
     both = old.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
     return both.groupBy("canonical_name").agg(
         F.min_by("entity_type", "batch").alias("entity_type"),
@@ -161,7 +208,8 @@ def prefix_search(registry: DataFrame, terms: DataFrame, limit: int = 10, column
     """(term, rank, canonical_name) of entries that hold all words of the term, the last as a prefix.
 
     Words are sought in name, aliases, document ids and type together.  Entries
-    are tokenised once; a term looks up its last word's first characters.
+    are tokenised once and listed under their words' first ``HEAD`` characters
+    and fewer; a term looks up as many of its last word.
     """
     columns = columns or ["canonical_name", "aliases", "doc_ids", "entity_type"]
     parts = [F.array_join(c, " ") if dict(registry.dtypes)[c].startswith("array") else F.col(c).cast("string") for c in columns]
@@ -174,9 +222,11 @@ def prefix_search(registry: DataFrame, terms: DataFrame, limit: int = 10, column
         .filter(F.size("asked") > 0)
         .withColumn("last", F.element_at("asked", -1))
         .withColumn("rest", F.slice("asked", 1, F.size("asked") - 1))
-        .withColumn("head", F.substring("last", 1, 1))
+        .withColumn("head", F.substring("last", 1, HEAD))
     )
-    heads = entries.select("canonical_name", "seq", "words", F.explode(F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, 1)))).alias("head"))
+    lengths = F.array(*[F.lit(n) for n in range(1, HEAD + 1)])
+    heads_of = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(lengths, lambda n: F.substring(w, F.lit(1), n)))))
+    heads = entries.select("canonical_name", "seq", "words", F.explode(heads_of).alias("head"))
     hit = heads.join(asked, "head").filter(
         F.exists("words", lambda w: F.startswith(w, F.col("last"))) & (F.size(F.array_except("rest", "words")) == 0)
     )

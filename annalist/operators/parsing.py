@@ -60,7 +60,7 @@ def parse_diff(diff: Column) -> Column:
             F.array().cast("array<string>").alias("lines"),
         )
         grown = state["open"].withField("lines", F.concat(state["open"]["lines"], F.array(line)))
-        path = X.strip(F.substring(line, 5, 1 << 20))
+        path = X.strip(F.substring(line, F.lit(5), F.length(line)))
         old, new, head = line.startswith("--- "), line.startswith("+++ "), line.rlike(HUNK_HEAD)
         body = state["open"].isNotNull() & line.rlike("^[-+ ]")
         return F.struct(
@@ -87,8 +87,8 @@ def diff_hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
     head = ~old & ~new & line.rlike(HUNK_HEAD)
     marked = (
         rows.withColumn("head", head)
-        .withColumn("old_path", F.coalesce(F.last(F.when(old, X.strip(F.substring(line, 5, 1 << 20))), True).over(upto), F.lit("")))
-        .withColumn("new_path", F.coalesce(F.last(F.when(new, X.strip(F.substring(line, 5, 1 << 20))), True).over(upto), F.lit("")))
+        .withColumn("old_path", F.coalesce(F.last(F.when(old, X.strip(F.substring(line, F.lit(5), F.length(line)))), True).over(upto), F.lit("")))
+        .withColumn("new_path", F.coalesce(F.last(F.when(new, X.strip(F.substring(line, F.lit(5), F.length(line)))), True).over(upto), F.lit("")))
         .withColumn("hunk", F.count(F.when(F.col("head"), 1)).over(upto))
         # open from its head to the next file's first line
         .withColumn("alive", F.last(F.when(F.col("head"), True).when(old, False), True).over(upto))
@@ -125,11 +125,11 @@ def diff_hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def added_lines(lines: Column) -> Column:
-    return F.transform(F.filter(lines, lambda x: x.startswith("+")), lambda x: F.substring(x, 2, 1 << 20))
+    return F.transform(F.filter(lines, lambda x: x.startswith("+")), lambda x: F.substring(x, F.lit(2), F.length(x)))
 
 
 def removed_lines(lines: Column) -> Column:
-    return F.transform(F.filter(lines, lambda x: x.startswith("-")), lambda x: F.substring(x, 2, 1 << 20))
+    return F.transform(F.filter(lines, lambda x: x.startswith("-")), lambda x: F.substring(x, F.lit(2), F.length(x)))
 
 
 def hunk_text(header: Column, lines: Column) -> Column:
@@ -184,6 +184,54 @@ def code_entities(sources: DataFrame, path: str = "file_path", text: str = "sour
     )
 
 
+def syntax_entities(sources: DataFrame, path: str = "file_path", text: str = "source") -> DataFrame:
+    """(entity_type, name, start_line, end_line, file_path, language, text, parent_class) of Python sources, by their syntax tree.
+
+    Functions, methods (functions in a class, however deep), classes and
+    imports, with the lines they span; decorators are not counted in.  A source
+    that does not parse gives nothing here: ``code_entities`` still finds its
+    definitions by pattern.
+    """
+    import ast
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    columns = ("entity_type", "name", "start_line", "end_line", "file_path", "language", "text", "parent_class")
+
+    def entities_of(file_path: str, source: str) -> Iterator[tuple]:
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        rows = source.splitlines()
+        todo: list[tuple[ast.AST, str | None]] = [(tree, None)]
+        while todo:
+            node, parent = todo.pop()
+            inside = parent
+            span = (getattr(node, "lineno", 0), getattr(node, "end_lineno", 0))
+            body = "\n".join(rows[max(span[0] - 1, 0) : span[1]])
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                yield "method" if parent else "function", node.name, *span, file_path, "python", body, parent
+            elif isinstance(node, ast.ClassDef):
+                yield "class", node.name, *span, file_path, "python", body, None
+                inside = node.name
+            elif isinstance(node, ast.Import | ast.ImportFrom):
+                yield "import", body.strip().split("\n")[0], span[0], span[0], file_path, "python", body.strip(), None
+            todo += [(child, inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [e for p, s in zip(batch["file_path"], batch["source"], strict=True) if s for e in entities_of(p, s)]
+            yield pd.DataFrame(found, columns=columns)
+
+    rows = sources.select(F.col(path).alias("file_path"), F.col(text).alias("source")).filter(language(F.col("file_path")) == "python")
+    return rows.mapInPandas(
+        run,
+        "entity_type string, name string, start_line int, end_line int, file_path string, language string, text string, parent_class string",
+    )
+
+
 def parse_commits(commits: DataFrame, as_of: str) -> DataFrame:
     """``as_of`` (ISO) stands in for a missing time, so that runs repeat."""
     return commits.select(

@@ -38,12 +38,12 @@ def top(scored: DataFrame, limit: int, by: Column | None = None) -> DataFrame:
 # postings
 
 
-def postings(docs: DataFrame, tokens: Column, key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, term, tf, doc_len) with one row per chunk and term."""
-    rows = docs.select(F.col(key).alias("chunk_id"), tokens.alias("tokens"))
+def postings(docs: DataFrame, tokens: Column, key: str = "chunk_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, ``keep``, term, tf, doc_len) with one row per chunk and term; ``keep``: columns to filter by later."""
+    rows = docs.select(F.col(key).alias("chunk_id"), *keep, tokens.alias("tokens"))
     return (
-        rows.select("chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-        .groupBy("chunk_id", "doc_len", "term")
+        rows.select("chunk_id", *keep, F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+        .groupBy("chunk_id", *keep, "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -53,7 +53,7 @@ def stemmed(post: DataFrame) -> DataFrame:
     stems = post.select("term").distinct().select("term", stem_words("term").alias("stem"))
     return (
         post.join(stems, "term")
-        .groupBy("chunk_id", "doc_len", F.col("stem").alias("term"))
+        .groupBy(*[c for c in post.columns if c not in ("term", "tf")], F.col("stem").alias("term"))
         .agg(F.sum("tf").alias("tf"))
     )
 
@@ -70,11 +70,17 @@ def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def _matched(post: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the questions' terms with their document frequency."""
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
+#: Terms of questions up to this many (about 20 MB) are sent to the postings, which then stay in place, however common a term is.
+BROADCAST_TERMS = 200_000
+
+
+def _matched(post: DataFrame, terms: DataFrame, where: Column | None = None) -> DataFrame:
+    """Postings of the questions' terms with their document frequency; ``where`` is applied after counting."""
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda rows: rows)
+    wanted = post.join(small(terms.select("term").distinct()), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return wanted.join(df, "term").join(terms, "term")
+    rows = wanted if where is None else wanted.filter(where)
+    return rows.join(small(df), "term").join(small(terms), "term")
 
 
 def bm25(
@@ -89,15 +95,26 @@ def bm25(
 
 
 def fulltext(
-    post: DataFrame, stats: DataFrame, terms: DataFrame, limit: int = 20, k1: float = 1.2, b: float = 0.75, digits: int | None = None
+    post: DataFrame,
+    stats: DataFrame,
+    terms: DataFrame,
+    limit: int = 20,
+    k1: float = 1.2,
+    b: float = 0.75,
+    digits: int | None = None,
+    doc_type: str | None = None,
 ) -> DataFrame:
-    """Chunks that hold all of a question's terms; the score is a negated BM25, best first (smallest)."""
+    """Chunks that hold all of a question's terms; the score is a negated BM25, best first (smallest).
+
+    ``doc_type`` restricts what is listed (the postings then keep that column), not the statistics.
+    """
+    where = None if doc_type is None else F.col("doc_type") == doc_type
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     length = 1 - b + b * F.col("doc_len") / F.col("avg_len")
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
     needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     scored = (
-        _matched(post, terms)
+        _matched(post, terms, where)
         .crossJoin(F.broadcast(stats))
         .groupBy("query_id", "chunk_id")
         .agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("held"))

@@ -10,6 +10,7 @@ from annalist.functions import text as X
 from annalist.functions.stemming import stem_words
 from annalist.operators import context, graph, planning, search
 from annalist.operators.embedding import Embedder, embed_texts
+from annalist.sources import sinks
 
 
 def check_request(mode: str, top_k: int, limit: int) -> None:
@@ -34,8 +35,9 @@ def retrieve(
     where: Column | None = None,
     weights: dict[str, float] | None = None,
     code: bool = True,
+    doc_type: str | None = None,
 ) -> DataFrame:
-    """Fused candidates.  ``where`` restricts the dense rankers only.
+    """Fused candidates.  ``where`` restricts the dense rankers only, ``doc_type`` the full-text one.
 
     ``tables``: chunks, bm25_postings, bm25_stats, fts_postings, fts_stats and, for
     dense ranking, vectors (chunk_id, semantic_vector, code_vector and the
@@ -44,7 +46,7 @@ def retrieve(
     words = search.query_terms(queries, X.search_tokens(F.col("query")))
     rankings = {
         "bm25": search.bm25(tables["bm25_postings"], tables["bm25_stats"], words, limit),
-        "fts": search.fulltext(tables["fts_postings"], tables["fts_stats"], stemmed_terms(queries), limit),
+        "fts": search.fulltext(tables["fts_postings"], tables["fts_stats"], stemmed_terms(queries), limit, doc_type=doc_type),
     }
     if "vectors" in tables:
         rankings["qdrant_semantic"] = search.dense(tables["vectors"], queries, limit, where)
@@ -66,6 +68,7 @@ def answer(
     writer: context.Writer | None = None,
     hops: int = 1,
     budget: int = context.BUDGET,
+    doc_type: str | None = None,
 ) -> dict[str, DataFrame]:
     """``answers`` (query_id, query, context, answer, evidence, n_chunks, used_tokens[, memo]) and ``evidence`` rows.
 
@@ -75,9 +78,9 @@ def answer(
     asked = planning.plan(queries.filter(F.length("query") >= 3))
     if embedder is not None and "vectors" in tables:
         asked = embed_texts(asked, embedder, "query", dim).withColumnRenamed("vector", "query_vector")
-        found = retrieve(tables, asked, limit, where)
+        found = retrieve(tables, sinks.written(asked, "questions"), limit, where, doc_type=doc_type)
     else:
-        found = retrieve({k: v for k, v in tables.items() if k != "vectors"}, asked, limit)
+        found = retrieve({k: v for k, v in tables.items() if k != "vectors"}, asked, limit, doc_type=doc_type)
     if "edges" in tables:
         found = graph.expand_candidates(found, tables["chunks"], tables["edges"], hops)
     rows = found

@@ -71,7 +71,7 @@ def build_indexes(chunks: DataFrame) -> dict[str, DataFrame]:
     return {
         "bm25_postings": search.postings(chunks, words),
         "bm25_stats": search.corpus_stats(chunks, words),
-        "fts_postings": search.stemmed(search.postings(chunks, terms)),
+        "fts_postings": search.stemmed(search.postings(chunks, terms, keep=("doc_type",))),
         "fts_stats": search.corpus_stats(chunks, terms),
     }
 

@@ -24,11 +24,16 @@ def churn(commits: DataFrame) -> DataFrame:
     )
 
 
-def co_changes(commits: DataFrame, most_paths: int = 50) -> DataFrame:
-    """(a, b, commits) of paths changed together; commits of more than ``most_paths`` paths say nothing about pairs."""
-    paths = F.array_sort(F.array_distinct("file_paths"))
-    some = commits.select("sha", paths.alias("p")).filter(F.size("p").between(2, most_paths))
-    pairs = F.flatten(
-        F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, most_paths), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    return some.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("commits"))
+def co_changes(commits: DataFrame, most_paths: int | None = None) -> DataFrame:
+    """(a, b, commits) of paths changed together.
+
+    A caller may leave out commits of more than ``most_paths`` paths, which say
+    little about pairs; by default all count.  A commit's pairs are made path by
+    path, never as one list.
+    """
+    some = commits.select(F.array_sort(F.array_distinct("file_paths")).alias("p")).filter(F.size("p") > 1)
+    if most_paths is not None:
+        some = some.filter(F.size("p") <= most_paths)
+    first = some.select("p", F.posexplode("p").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("commits"))

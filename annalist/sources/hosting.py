@@ -1,8 +1,10 @@
-"""Pull requests, issues, releases and CI runs of a code-hosting service's REST interface, page by page.
+"""Pull requests, issues, releases and CI runs of a code-hosting service, page by page to the last one.
 
 ``spark.read.format("hosted_project").option("repo", "owner/name").option("kind", "issue")``.
-Further options: ``api`` (address), ``token``, ``pages`` (partitions, 10), ``per_page`` (50), ``state`` (all).
-A page waits out the service's rate limit.  Rows have the layout of their kind's records.
+Further options: ``api`` (address), ``token``, ``readers`` (partitions, 10), ``per_page`` (50), ``state`` (all).
+Reader i of n takes pages i, i + n, i + 2n and so on until one is not full; comments are read to their last page too.
+Kind ``pr_graphql`` asks the GraphQL interface for merged pull requests, one page after the other.
+A request waits out the service's rate limit.  Rows have the layout of their kind's records.
 """
 
 from __future__ import annotations
@@ -20,6 +22,19 @@ from annalist import schemas
 _PATHS = {"pr": "pulls", "issue": "issues", "release": "releases", "cicd": "actions/runs"}
 
 
+_MERGED = """query ($owner: String!, $name: String!, $size: Int!, $after: String) {
+  repository(owner: $owner, name: $name) {
+    pullRequests(states: MERGED, first: $size, after: $after, orderBy: {field: UPDATED_AT, direction: DESC}) {
+      pageInfo { hasNextPage endCursor }
+      nodes {
+        number title body author { login } createdAt mergedAt
+        closingIssuesReferences(first: 5) { nodes { number title } }
+      }
+    }
+  }
+}"""
+
+
 class _Page(InputPartition):
     def __init__(self, number: int):
         super().__init__(number)
@@ -44,6 +59,12 @@ def row_of(kind: str, item: dict) -> tuple | None:
             item.get("created_at"), item.get("updated_at"), item.get("closed_at"),
             [x["name"] for x in item.get("labels", [])], [c.get("body") or "" for c in item.get("comments_data", [])], None,
         )
+    if kind == "pr_graphql":
+        closing = ((item.get("closingIssuesReferences") or {}).get("nodes") or [])[:5]
+        return (
+            item["number"], item.get("title") or "", item.get("body") or "", who(item.get("author")), item.get("createdAt"),
+            item.get("mergedAt"), [f"#{x['number']}: {x.get('title') or ''}" for x in closing],
+        )
     if kind == "release":
         tag = item.get("tag_name") or ""
         return tag, tag, item.get("name") or "", item.get("body") or "", item.get("created_at"), item.get("published_at"), None
@@ -60,24 +81,50 @@ class _Reader(DataSourceReader):
         self.kind = self.o["kind"]
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i + 1) for i in range(int(self.o.get("pages", 10)))]
+        return [_Page(i + 1) for i in range(1 if self.kind == "pr_graphql" else int(self.o.get("readers", 10)))]
 
-    def _get(self, path: str) -> object:
-        address = f"{self.o.get('api', 'https://api.github.com').rstrip('/')}/repos/{self.o['repo']}/{path}"
+    def _get(self, path: str, body: dict | None = None) -> object:
+        address = f"{self.o.get('api', 'https://api.github.com').rstrip('/')}/{path}"
         headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {self.o['token']}"} if self.o.get("token") else {})
-        with urllib.request.urlopen(urllib.request.Request(address, headers=headers), timeout=60) as answer:
+        data = None if body is None else json.dumps(body).encode()
+        with urllib.request.urlopen(urllib.request.Request(address, data, headers), timeout=60) as answer:
             if int(answer.headers.get("X-RateLimit-Remaining") or 2) <= 1:
                 time.sleep(max(0, int(answer.headers.get("X-RateLimit-Reset") or 0) - time.time()) + 1)
             return json.load(answer)
 
+    def _pages(self, path: str, first: int = 1, step: int = 1) -> Iterator[dict]:
+        size, page = int(self.o.get("per_page", 50)), first
+        while True:
+            mark = "&" if "?" in path else "?"
+            found = self._get(f"repos/{self.o['repo']}/{path}{mark}per_page={size}&page={page}")
+            found = found["workflow_runs"] if isinstance(found, dict) else found
+            yield from found
+            if len(found) < size:
+                return
+            page += step
+
+    def _merged(self) -> Iterator[dict]:
+        owner, name = self.o["repo"].split("/")
+        after = None
+        while True:
+            given = {"owner": owner, "name": name, "size": int(self.o.get("per_page", 50)), "after": after}
+            found = self._get("graphql", {"query": _MERGED, "variables": given})["data"]["repository"]["pullRequests"]
+            yield from found["nodes"]
+            if not found["pageInfo"]["hasNextPage"]:
+                return
+            after = found["pageInfo"]["endCursor"]
+
     def read(self, partition: _Page) -> Iterator[tuple]:
-        size = int(self.o.get("per_page", 50))
-        found = self._get(f"{_PATHS[self.kind]}?state={self.o.get('state', 'all')}&per_page={size}&page={partition.number}")
-        for item in found["workflow_runs"] if isinstance(found, dict) else found:
+        if self.kind == "pr_graphql":
+            items = self._merged()
+        else:
+            step = int(self.o.get("readers", 10))
+            items = self._pages(f"{_PATHS[self.kind]}?state={self.o.get('state', 'all')}", partition.number, step)
+        for item in items:
             if self.kind == "pr":
-                item["review_comments_data"] = self._get(f"pulls/{item['number']}/comments")
+                item["review_comments_data"] = list(self._pages(f"pulls/{item['number']}/comments"))
             elif self.kind == "issue" and not item.get("pull_request") and item.get("comments"):
-                item["comments_data"] = self._get(f"issues/{item['number']}/comments")
+                item["comments_data"] = list(self._pages(f"issues/{item['number']}/comments"))
             if (row := row_of(self.kind, item)) is not None:
                 yield row
 

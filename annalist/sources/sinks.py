@@ -74,6 +74,27 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` by way of a table in the folder that driver and executors share: what follows starts from the files."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def save_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A new version of each table under ``path``; postings lie in order of their terms, so that few files hold a question's."""
+    for name, rows in tables.items():
+        if "term" in rows.columns:
+            rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+        replace(rows.sparkSession, rows, f"{path}/{name}")
+
+
+def load_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    return {name: current(spark, f"{path}/{name}") for name in names}
+
+
 def write_chunk_file(chunks: DataFrame, path: str) -> None:
     """Chunk file lines {text, metadata}; characters beyond ASCII stay as they are."""
     meta = F.struct(*[F.col(c) for c in chunks.columns if c != "text"])
