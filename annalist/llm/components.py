@@ -61,6 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         stars = materialise(small.mapInArrow(_local_union_find, "u long, v long").distinct(), "edges")
-        roots = stars.select(F.col("v").alias("u")).distinct()
-        if stars.join(roots, "u", "left_semi").isEmpty() and stars.groupBy("u").count().filter("count > 1").isEmpty():
+        # stars: no node has two roots, and no root is a node
+        ends = stars.select("u", F.lit(1).alias("ups"), F.lit(0).alias("root")).unionByName(
+            stars.select(F.col("v").alias("u"), F.lit(0).alias("ups"), F.lit(1).alias("root"))
+        )
+        uses = ends.groupBy("u").agg(F.sum("ups").alias("ups"), F.max("root").alias("root"))
+        if uses.filter("ups > 1 OR (ups = 1 AND root = 1)").isEmpty():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
