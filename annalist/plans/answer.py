@@ -82,7 +82,7 @@ def answer(
     else:
         found = retrieve({k: v for k, v in tables.items() if k != "vectors"}, asked, limit, doc_type=doc_type)
     if "edges" in tables:
-        found = graph.expand_candidates(found, tables["chunks"], tables["edges"], hops)
+        found = graph.expand_candidates(sinks.written(found, "candidates"), tables["chunks"], tables["edges"], hops)
     rows = found
     if scorer is not None:
         rows = search.hydrate(found, tables["chunks"]).join(asked.select("query_id", "query"), "query_id")

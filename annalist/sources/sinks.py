@@ -60,18 +60,38 @@ def replace_postings(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> D
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def replace(spark: SparkSession, rows: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """Write a new version beside the old one, then point ``path/_current`` to it; readers never see half a table."""
+def replace(spark: SparkSession, rows: DataFrame, path: str, partition_by: str | None = None, tidy: bool = False) -> DataFrame:
+    """Write a new version beside the old one, then point ``path/_current`` to it; readers never see half a table.
+
+    ``tidy`` removes the versions before the one that was current until now.
+    """
     version = f"v-{uuid.uuid4().hex}"
     writer = rows.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/{version}")
+    stay = {version}
+    if tidy:
+        try:
+            stay.add(_version(spark, path))
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    if tidy:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(place):
+            name = found.getPath().getName()
+            if name.startswith("v-") and name not in stay:
+                files.delete(found.getPath(), True)
     return current(spark, path)
 
 
+def _version(spark: SparkSession, path: str) -> str:
+    return spark.read.schema("version string").json(f"{path}/_current").head()[0]
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/_current").head()[0]
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{_version(spark, path)}")
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,8 @@ def read_stream(spark: SparkSession, path: str, doc_type: str, files_per_batch:
 def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None) -> StreamingQuery:
     """Run over all that is there, each micro-batch upserted into the table at ``path``.
 
-    A batch that is run again after a failure gives the same table.
+    A batch that is run again after a failure gives the same table.  Of older
+    versions of the table only the last one stays.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -34,6 +35,6 @@ def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str,
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = batch.limit(0)
-        sinks.replace(spark, sinks.upsert(old, batch, keys, turn, order_first=order is not None), path)
+        sinks.replace(spark, sinks.upsert(old, batch, keys, turn, order_first=order is not None), path, tidy=True)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -235,6 +235,9 @@ def test_stream(spark, tmp_path):
         ingest.upsert_stream(rows, str(tmp_path / "table"), ["doc_type", "doc_id"], str(tmp_path / "progress")).awaitTermination()
         (row,) = sinks.current(spark, str(tmp_path / "table")).collect()
         assert json.loads(row.payload)["state"] == state
+    rows = spark.createDataFrame([("pr", "6", "{}")], schemas.DOCUMENT)
+    sinks.replace(spark, rows, str(tmp_path / "table"), tidy=True)
+    assert len(list((tmp_path / "table").glob("v-*"))) == 2
 
 
 def test_git_source(spark, tmp_path):
