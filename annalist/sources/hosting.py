@@ -22,14 +22,15 @@ from annalist import schemas
 _PATHS = {"pr": "pulls", "issue": "issues", "release": "releases", "cicd": "actions/runs"}
 
 
-_MERGED = """query ($owner: String!, $name: String!, $size: Int!, $after: String) {
-  repository(owner: $owner, name: $name) {
-    pullRequests(states: MERGED, first: $size, after: $after, orderBy: {field: UPDATED_AT, direction: DESC}) {
-      pageInfo { hasNextPage endCursor }
+_MERGED = """query Merged($size: Int!, $after: String, $name: String!, $owner: String!) {
+  repository(name: $name, owner: $owner) {
+    pullRequests(after: $after, first: $size, orderBy: {direction: DESC, field: UPDATED_AT}, states: MERGED) {
       nodes {
-        number title body author { login } createdAt mergedAt
-        closingIssuesReferences(first: 5) { nodes { number title } }
+        closingIssuesReferences(first: 5) { nodes { title number } }
+        author { login }
+        mergedAt createdAt body: bodyText title number
       }
+      pageInfo { endCursor hasNextPage }
     }
   }
 }"""
