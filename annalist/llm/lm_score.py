@@ -18,7 +18,8 @@ U = np.uint64
 END = np.int64(-6148914691236517206)  # stands for the end among the word hashes
 TABLE_ENTRIES = 8_000_000  # of the model sent to the executors at a time (200 MB as a table)
 HOT_WORDS = 200_000
-HOLD = 4_000_000
+HOLD = 2_000_000  # counts a task holds before it merges them
+CHUNK = 1 << 20  # bytes of text at a time: a gram takes some 60 bytes on the way
 WEIGHED_AT_ONCE = 1 << 16  # grams, and the rest of the last one's group
 
 
@@ -27,8 +28,14 @@ def held_out(doc_id, folds: int = 10):
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    keys.clear(), counts.clear()
+    order = np.argsort(key)
+    key = key[order]
+    count = count[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
 def _count(depth: int):
@@ -44,7 +51,8 @@ def _count(depth: int):
         def shrink(kind: int) -> None:
             if held[kind]:
                 key, count = _merge(held[kind], totals[kind])
-                held[kind][:], totals[kind][:] = [key], [count]
+                held[kind].append(key)
+                totals[kind].append(count)
                 size[kind] = len(key)
 
         def emit(kind: int) -> Iterator[pa.RecordBatch]:
@@ -64,7 +72,7 @@ def _count(depth: int):
 
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offsets in text_chunks(batch.column(0)):
+            for lo, hi, data, offsets in text_chunks(batch.column(0), CHUNK):
                 gram, cuts = grams(data, offsets, depth)
                 mine = np.repeat(learn[lo:hi], np.diff(cuts))
                 for part, weight in ((gram[mine], 1), (gram[~mine], 0)):
@@ -181,7 +189,7 @@ def _score(table, hot, depth: int, shard: int, shards: int, last: bool):
         model = table.value
         hot_key, hot_count = hot.value
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(2)):
+            for lo, hi, data, offsets in text_chunks(batch.column(2), CHUNK):
                 gram, cuts = grams(data, offsets, depth)
                 value = model.get(gram).astype(float)
                 if shards > 1:
