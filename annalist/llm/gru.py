@@ -3,7 +3,8 @@
 Input of a step: a word's embedding (known words only) beside the sum, by the
 root of their number, of the embeddings of its runs of four characters, marks of
 its ends among them.  Both directions' states are pooled by attention into one
-vector per window, and that into one logit.
+vector per window, and that into one logit.  Words and runs find their embeddings
+by hash in tables of fixed size, so the model does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -20,9 +21,15 @@ U = np.uint64
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 8, 8
 GRAMS = 1 << 15
-MOST_WINDOWS = 256  # of one training document; of longer ones as many are drawn at random
+WORDS = 1 << 18
 RESCORED = 3  # epochs between two choices of the largest windows
-PART = 4096
+PART = 1024
+EPOCHS, STEPS = 8, 400  # of training, at least
+
+
+def word_rows(hashes: np.ndarray) -> np.ndarray:
+    """Rows of the word table."""
+    return (hashes % U(WORDS)).astype(np.int64)
 
 
 class Tokens:
@@ -64,12 +71,12 @@ class Tokens:
 class Bag:
     """Windows of labelled documents over one vocabulary of distinct words, which is all that training keeps of them.
 
-    A document of more than ``most`` windows gives that many, drawn from its whole
-    text by a hash.  Texts are taken as they come and not kept; the bag is the
-    same in whatever order.
+    All windows of a document are kept, or with ``most`` that many of a longer
+    one, drawn from its whole text by a hash.  Texts are taken as they come and
+    not kept; the bag is the same in whatever order.
     """
 
-    def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray, pa.Array]], most: int):
+    def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray, pa.Array]], most: int | None = None):
         """``rows``: parts of (ids, labels, texts), each id once."""
         hashes, sizes, runs, grids, owners, known = [], [], [], [], [], {}
         words = 0
@@ -80,9 +87,10 @@ class Bag:
                 doc, grid, count = t.windows(WINDOW)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
                 owner = ids[lo:hi].astype(np.int64)[doc]
-                place = np.lexsort((mix64(owner.view(np.uint64) * U(0x9E3779B97F4A7C15) + number.astype(np.uint64)), doc))
-                rank = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                drawn = np.sort(place[rank < most])
+                drawn = np.arange(len(doc))
+                if most is not None:
+                    place = np.lexsort((mix64(owner.view(np.uint64) * U(0x9E3779B97F4A7C15) + number.astype(np.uint64)), doc))
+                    drawn = np.sort(place[number < most])
                 used, inverse = np.unique(grid[drawn], return_inverse=True)
                 inverse = inverse.reshape(-1, WINDOW) + (words if len(used) and used[0] >= 0 else words - 1)
                 used = used[used >= 0]
@@ -99,21 +107,30 @@ class Bag:
         cuts = np.cumsum(size) - size
         kept = size[first].astype(np.int64)
         self.gram_cuts = np.concatenate([[0], np.cumsum(kept)])
-        self.gram = run[np.repeat(cuts[first] - self.gram_cuts[:-1], kept) + np.arange(kept.sum())].astype(np.int64)
+        self.gram = run[np.repeat(cuts[first] - self.gram_cuts[:-1], kept) + np.arange(kept.sum())].astype(np.int32)
+        del hashed, run, hashes, sizes, runs
         owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
         grid = np.concatenate(grids)[order] if grids else np.empty((0, WINDOW), np.int32)
-        self.grid = np.where(grid >= 0, np.append(where, 0)[grid], -1).astype(np.int32)
+        self.grid = np.where(grid >= 0, np.append(where, 0).astype(np.int32)[grid], np.int32(-1))
         every = np.array(sorted(known), dtype=np.int64)
         self.y = np.array([known[i] for i in every.tolist()], dtype=np.float32)
         self.doc = np.searchsorted(every, owner[order])
 
-    def documents_of(self) -> np.ndarray:
-        """How many documents hold each word."""
-        real = self.grid >= 0
-        docs = np.int64(max(len(self.y), 1))
-        key = np.unique(self.grid[real] * docs + np.repeat(self.doc, real.sum(axis=1)))
-        return np.bincount(key // docs, minlength=len(self.hash))
+    def documents_of(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the word table, and how many documents hold a word of each."""
+        held = np.zeros(WORDS, dtype=np.int64)
+        row = word_rows(self.hash)
+        lo = 0
+        while lo < len(self.doc):  # a few thousand windows at a time, of whole documents
+            hi = int(np.searchsorted(self.doc, self.doc[min(lo + PART, len(self.doc)) - 1], side="right"))
+            grid, doc = self.grid[lo:hi], self.doc[lo:hi]
+            real = grid >= 0
+            key = np.unique(np.repeat(doc, real.sum(axis=1)) * WORDS + row[grid[real]])
+            held += np.bincount(key % WORDS, minlength=WORDS)
+            lo = hi
+        rows = np.flatnonzero(held)
+        return rows, held[rows]
 
 
 def _tanh_sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,17 +139,22 @@ def _tanh_sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # sorted word hashes
+    vocabulary: np.ndarray  # sorted rows of the word table that are known; the first of p["words"] is for all others
     p: dict[str, np.ndarray]
     threshold: float = 0.0
     sharpness: float = 1.0
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of p["words"]."""
+        row = word_rows(hashes)
+        at = np.searchsorted(self.vocabulary, row)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == row[known]
+        return np.where(known, at + 1, 0)
+
     def inputs(self, t: Tokens) -> np.ndarray:
         """Input vectors of the distinct words."""
-        at = np.searchsorted(self.vocabulary, t.hash)
-        known = at < len(self.vocabulary)
-        known[known] = self.vocabulary[at[known]] == t.hash[known]
-        word = self.p["words"][np.where(known, at + 1, 0)]
+        word = self.p["words"][self.rows(t.hash)]
         sums = np.zeros((len(t.hash) + 1, DIM), dtype=np.float32)
         if len(t.gram):
             sums[:-1] = np.add.reduceat(self.p["chars"][t.gram], t.gram_cuts[:-1], axis=0)
@@ -151,26 +173,28 @@ class Model:
 
     def _part(self, fore: np.ndarray, back: np.ndarray, grid: np.ndarray) -> np.ndarray:
         n = len(grid)
+        grid = np.ascontiguousarray(grid.T, dtype=np.intp)
         real = grid >= 0
-        states = np.empty((WINDOW, n, 2 * HIDDEN), dtype=np.float32)
+        states = np.empty((WINDOW, 2 * HIDDEN, n), dtype=np.float32)  # windows last: long runs for every operation
         for table, u, part, steps in (
-            (fore, self.p["uf"], slice(0, HIDDEN), range(WINDOW)),
-            (back, self.p["ub"], slice(HIDDEN, 2 * HIDDEN), range(WINDOW - 1, -1, -1)),
+            (fore, self.p["uf"].T, slice(0, HIDDEN), range(WINDOW)),
+            (back, self.p["ub"].T, slice(HIDDEN, 2 * HIDDEN), range(WINDOW - 1, -1, -1)),
         ):
-            h = np.zeros((n, HIDDEN), dtype=np.float32)
+            h = np.zeros((HIDDEN, n), dtype=np.float32)
             for step in steps:
-                a, b = table[grid[:, step]], h @ u
-                gates = _tanh_sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-                z = gates[:, :HIDDEN]
-                new = np.tanh(a[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * b[:, 2 * HIDDEN :])
-                h = np.where(real[:, step, None], new + z * (h - new), h)
-                states[step, :, part] = h
-        score = np.tanh(states @ self.p["att"]) @ self.p["attv"]
-        score = np.where(real.T, score, -np.inf)
+                a, b = np.ascontiguousarray(np.take(table, grid[step], axis=0).T), u @ h
+                gates = _tanh_sigmoid(a[: 2 * HIDDEN] + b[: 2 * HIDDEN])
+                z = gates[:HIDDEN]
+                new = np.tanh(a[2 * HIDDEN :] + gates[HIDDEN:] * b[2 * HIDDEN :])
+                new += z * (h - new)
+                h = new if real[step].all() else np.where(real[step], new, h)
+                states[step, part] = h
+        score = self.p["attv"] @ np.tanh(self.p["att"].T @ states)
+        score = np.where(real, score, -np.inf)
         weight = np.exp(score - score.max(axis=0))
         weight /= weight.sum(axis=0)
-        pooled = np.einsum("tn,tnh->nh", weight, states)
-        return pooled @ self.p["out"] + self.p["bias"]
+        pooled = np.einsum("tn,thn->hn", weight, states)
+        return self.p["out"] @ pooled + self.p["bias"]
 
     def document_logits(self, t: Tokens) -> np.ndarray:
         """Largest logit of each document's windows; -inf for a document without words."""
@@ -255,45 +279,21 @@ class _Adam:
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
         for k, d in g.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * d
-            self.v[k] = 0.999 * self.v[k] + 0.001 * d * d
-            move = self.m[k] / (1 - 0.9**self.t) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
-            self.p[k] = (self.p[k] - self.rate * move).astype(np.float32)
+            self.m[k] = self.m[k] * np.float32(0.9) + np.float32(0.1) * d
+            self.v[k] = self.v[k] * np.float32(0.999) + np.float32(0.001) * d * d
+            size = np.sqrt(self.v[k] * np.float32(1 / (1 - 0.999**self.t))) + np.float32(1e-8)
+            self.p[k] = (self.p[k] - np.float32(self.rate / (1 - 0.9**self.t)) * self.m[k] / size).astype(np.float32)
 
 
-def train(
-    rows: Iterable[tuple[np.ndarray, np.ndarray, pa.Array]],
-    prior: float,
-    most: int = MOST_WINDOWS,
-    epochs: int = 8,
-    steps: int = 400,
-    seed: int = 3,
-    frozen: tuple[str, ...] = (),
-) -> Model | None:
-    """Fit on ``rows``, parts of (ids, labels, texts), of which only whole texts are labelled.
-
-    All weights and embeddings start at random.  A document's logit is its
-    largest window's, so after two epochs over random windows the windows are
-    scored again and again, and each document's largest one is learned from,
-    beside a random one of the documents labelled 0.  A word is known if two
-    training documents hold it.  ``prior`` is the share of documents labelled 1
-    outside the sample, for the threshold.  Small samples get smaller batches and
-    more epochs, ``steps`` steps at least.  ``frozen`` names weights to be left
-    as they started (to see what each part contributes).  None without words of both classes.
-    """
+def start(vocabulary: np.ndarray, seed: int = 3) -> Model:
+    """All weights and embeddings at random, over the known rows of the word table."""
     rng = np.random.default_rng(seed)
-    bag = Bag(rows, most)
-    y = bag.y
-    if not len(bag.doc) or not 0 < y[bag.doc].sum() < len(bag.doc):
-        return None
-    known = bag.documents_of() >= 2
-    lookup = np.where(known, np.cumsum(known), 0)
 
     def random(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
     p = {
-        "words": random(int(known.sum()) + 1, DIM, scale=0.1),
+        "words": random(len(vocabulary) + 1, DIM, scale=0.1),
         "chars": random(GRAMS, DIM, scale=0.1),
         "att": random(2 * HIDDEN, HIDDEN, scale=0.3),
         "attv": random(HIDDEN, scale=0.3),
@@ -303,14 +303,31 @@ def train(
     for d in "fb":
         p |= {"w" + d: random(2 * DIM, 3 * HIDDEN, scale=0.4), "u" + d: random(HIDDEN, 3 * HIDDEN, scale=0.2)}
         p["b" + d] = np.zeros(3 * HIDDEN, np.float32)
-    model = Model(bag.hash[known], p)
-    adam = _Adam(p, 0.01)
+    return Model(vocabulary, p)
+
+
+def schedule(docs: int, epochs: int = EPOCHS, steps: int = STEPS) -> tuple[int, int]:
+    """(documents a batch, epochs) over ``docs`` documents: few get smaller batches and more epochs, ``steps`` steps at least."""
+    batch = min(256, max(32, docs // 8))
+    return batch, max(epochs, -(-steps * batch // (2 * max(docs, 1))))
+
+
+def learn(model: Model, bag: Bag, epochs: range, batch: int, seed: int = 3, frozen: tuple[str, ...] = ()) -> None:
+    """Go ``epochs`` times through the documents of ``bag``, all of whose windows count.
+
+    A document's logit is its largest window's, so after two epochs over random
+    windows all windows are scored again and again, and each document's largest
+    one is learned from, beside a random one of the documents labelled 0.
+    """
+    if not len(bag.doc):
+        return
+    rng = np.random.default_rng([seed, epochs.start])
+    adam = _Adam(model.p, 0.01)
+    lookup = model.rows(bag.hash)
     held, first, count = np.unique(bag.doc, return_index=True, return_counts=True)
-    zero = y[held] == 0
-    batch_size = min(256, max(32, len(y) // 8))
-    epochs = max(epochs, -(-steps * batch_size // (2 * max(len(y), 1))))
+    zero = bag.y[held] == 0
     top = None
-    for epoch in range(epochs):
+    for epoch in epochs:
         if epoch >= 2 and (top is None or epoch % RESCORED == 0):
             top = np.lexsort((-model.logits(bag, bag.grid), bag.doc))[first]
         drawn = lambda: first + (rng.random(len(held)) * count).astype(int)
@@ -320,15 +337,98 @@ def train(
         chosen = np.concatenate([one, other])
         weight = np.concatenate([np.ones(len(one)), np.full(len(other), 0.5)]).astype(np.float32)
         order = rng.permutation(len(chosen))
-        for lo in range(0, len(order), batch_size):
-            part = order[lo : lo + batch_size]
-            _learn(model, adam, bag, chosen[part], y[bag.doc[chosen[part]]], weight[part], lookup, frozen)
+        for lo in range(0, len(order), batch):
+            part = order[lo : lo + batch]
+            _learn(model, adam, bag, chosen[part], bag.y[bag.doc[chosen[part]]], weight[part], lookup, frozen)
+
+
+def rounds(epochs: int, blocks: int) -> list[range]:
+    """Epochs between two meetings of the blocks: after the first two, and then before each scoring of all windows."""
+    cuts = [0, *(e for e in range(2, epochs) if e == 2 or e % RESCORED == 0), epochs] if blocks > 1 else [0, epochs]
+    return [range(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def train(
+    rows: Iterable[tuple[np.ndarray, np.ndarray, pa.Array]],
+    prior: float,
+    most: int | None = None,
+    epochs: int = EPOCHS,
+    steps: int = STEPS,
+    seed: int = 3,
+    frozen: tuple[str, ...] = (),
+) -> Model | None:
+    """Fit on ``rows``, parts of (ids, labels, texts), as one block in memory; a threshold of its own included.
+
+    A word is known if two training documents hold it (or one in its row of the
+    table).  ``prior`` is the share of documents labelled 1 to expect, for the
+    threshold.  ``frozen`` names weights to be left as they started (to see what
+    each part contributes).  None without words of both classes.
+    """
+    bag = Bag(rows, most)
+    y = bag.y
+    if not len(bag.doc) or not 0 < y[bag.doc].sum() < len(bag.doc):
+        return None
+    row, held = bag.documents_of()
+    model = start(row[held >= 2], seed)
+    batch, epochs = schedule(len(y), epochs, steps)
+    learn(model, bag, range(epochs), batch, seed, frozen)
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, bag.doc, model.logits(bag, bag.grid))
     _calibrate(model, best, y, prior)
     return model
 
 
+class Block:
+    """A copy of the weights that a bag's documents touch, to learn in and to tell the changes of.
+
+    Changes are rows of DIM numbers: of the word table, then the character table,
+    then all other weights in a row.
+    """
+
+    def __init__(self, model: Model, bag: Bag):
+        self.bag, self.whole = bag, model
+        self.words = np.unique(np.append(model.rows(bag.hash), 0))
+        self.chars = np.unique(bag.gram)
+        p = {k: np.array(v, dtype=np.float32) for k, v in model.p.items() if k != "words"}
+        self.model = Model(model.vocabulary[self.words[1:] - 1], p | {"words": model.p["words"][self.words]})
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, changes)."""
+        old, new, n = self.whole.p, self.model.p, len(self.whole.p["words"])
+        rest = _rest(new) - _rest(old)
+        rows = [self.words, n + self.chars, n + GRAMS + np.arange(len(rest))]
+        return np.concatenate(rows), np.concatenate(
+            [new["words"] - old["words"][self.words], (new["chars"] - old["chars"])[self.chars], rest]
+        )
+
+
+def _rest(p: dict[str, np.ndarray]) -> np.ndarray:
+    flat = np.concatenate([np.ravel(p[k]) for k in sorted(p) if k not in ("words", "chars")])
+    return np.append(flat, np.zeros(-len(flat) % DIM, np.float32)).reshape(-1, DIM)
+
+
+def changed(model: Model, rows: np.ndarray, changes: np.ndarray) -> Model:
+    """``model`` with ``changes`` (as ``Block.changes`` numbers them; each row once) added."""
+    n, rest = len(model.p["words"]), _rest(model.p)
+    table = np.concatenate([model.p["words"], model.p["chars"], rest])
+    table[rows] += changes
+    p, at, flat = {"words": table[:n], "chars": table[n : n + GRAMS]}, 0, table[n + GRAMS :].ravel()
+    for k in sorted(model.p):
+        if k not in p:
+            shape = np.shape(model.p[k])
+            size = int(np.prod(shape, dtype=int))
+            p[k] = flat[at : at + size].reshape(shape).astype(np.float32)
+            at += size
+    return Model(model.vocabulary, p, model.threshold, model.sharpness)
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` that go to each of ``n`` rows."""
+    width = values.shape[1]
+    place = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(place, values.ravel(), n * width).astype(np.float32).reshape(n, width)
+
+
 def _learn(model: Model, adam: _Adam, bag: Bag, chosen, y, weight, lookup, frozen) -> None:
     grid = bag.grid[chosen]
     used, inverse = np.unique(grid, return_inverse=True)
@@ -346,12 +446,10 @@ def _learn(model: Model, adam: _Adam, bag: Bag, chosen, y, weight, lookup, froze
     x_rows = np.concatenate([p["words"][rows], chars], axis=1)
     x_rows = np.concatenate([x_rows, np.zeros((1, 2 * DIM), np.float32)]).astype(np.float32)
     real = (grid >= 0).T
-    g, d_x = _gradients(model, x_rows[inverse.T], real, y, weight)
-    flat = np.zeros((len(used), 2 * DIM), np.float32)
-    np.add.at(flat, inverse.T[real], d_x[real])
-    g["words"], g["chars"] = np.zeros_like(p["words"]), np.zeros_like(p["chars"])
-    np.add.at(g["words"], rows, flat[:, :DIM])
-    np.add.at(g["chars"], runs, np.repeat(flat[:, DIM:] / scale, size, axis=0))
+    g, d_x = _gradients(model, np.take(x_rows, inverse.T, axis=0), real, y, weight)
+    flat = _summed(inverse.T[real], d_x[real], len(used))
+    g["words"] = _summed(rows, flat[:, :DIM], len(p["words"]))
+    g["chars"] = _summed(runs, np.repeat(flat[:, DIM:] / scale, size, axis=0), len(p["chars"]))
     adam.step({k: v for k, v in g.items() if k not in frozen})
 
 

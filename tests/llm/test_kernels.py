@@ -260,6 +260,27 @@ def test_training_does_not_depend_on_the_order_of_rows():
     assert np.bincount(bag.doc).max() == 4 and len(bag.y) == 12
 
 
+def test_bag_keeps_every_window_of_long_texts():
+    text = " ".join(f"w{i}" for i in range(32 * 300))
+    bag = gru.Bag([(np.array([4, 7]), np.array([1, 0]), pa.array([text, "short one"], pa.large_string()))])
+    assert np.bincount(bag.doc).tolist() == [300, 1] and len(np.unique(bag.grid[:300])) == 32 * 300
+
+
+def test_changes_of_a_block_give_its_weights():
+    texts = [f"word{i % 7} thing{i % 3} other{i % 2} " * 9 for i in range(12)]
+    rows = [(np.arange(12), np.arange(12) % 3 == 0, pa.array(texts, pa.large_string()))]
+    bag = gru.Bag(rows)
+    row, held = bag.documents_of()
+    model = gru.start(np.union1d(row[held >= 2], [5, 77]))
+    block = gru.Block(model, bag)
+    gru.learn(block.model, bag, range(4), 8)
+    whole = gru.changed(model, *block.changes())
+    assert whole.logits(bag, bag.grid) == pytest.approx(block.model.logits(bag, bag.grid), abs=1e-4)
+    assert abs(whole.logits(bag, bag.grid) - model.logits(bag, bag.grid)).max() > 0.01
+    untouched = np.searchsorted(model.vocabulary, [5, 77]) + 1
+    assert np.array_equal(whole.p["words"][untouched], model.p["words"][untouched])
+
+
 def test_network_gradients():
     texts = ["you are a moron today", "nice words here and there", "word " * 50]
     model, t = trained(texts * 3, [1, 0, 0] * 3), tokens(texts)

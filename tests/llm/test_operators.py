@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import common, exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, nearest, packing, substring_dedup, toxicity
 from annalist.llm.components import components
+from annalist.llm.gru import Tokens
 
 DOCS = "doc_id long, text string, lang string, source string"
 ODD = [  # null id, null text, empty, blanks, a repeated row, a long word
@@ -578,6 +579,38 @@ def test_toxicity(spark):
     assert all(r.score == 0 for r in none)
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """No text beyond some number or place is left out: words of the last ones by the id's hash and of a long text's end are known."""
+    ids = spark.range(4500).filter(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id")
+    ids = [r.id for r in ids.collect()]
+    rare = {ids[-4]: "quagmirish", ids[-3]: "quagmirish", ids[-2]: "endwordly", ids[-1]: "endwordly"}
+    rows, labels = [], []
+    for k, i in enumerate(ids):
+        long = " ".join(f"w{j % 50}" for j in range(9_000)) + " " if rare.get(i) == "endwordly" else ""
+        rows.append((i, long + ("you moron " if k % 2 else "kind day ") + rare.get(i, ""), "en", "s"))
+        labels.append((i, k % 2))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), toxicity.labelled(marks), block_bytes=50_000)
+    t = Tokens(np.frombuffer(b"quagmirish endwordly moron unheard", np.uint8), np.array([0, 34]))
+    assert (model.rows(t.hash)[t.word] > 0).tolist() == [True, True, True, False]
+    texts = [b"you moron", b"kind day"]
+    t = Tokens(np.frombuffer(b"".join(texts), np.uint8), np.array([0, 9, 17]))
+    bad, good = model.document_logits(t)
+    assert bad > good + 2
+
+
+def test_toxicity_threshold(spark):
+    rng = random.Random(6)
+    for n, spread in ((1, 1), (2, 1), (60, 1), (60, 8), (300, 3)):
+        rows = [(round(rng.gauss(spread * y, 1), 1), y) for y in (int(rng.random() < 0.3) for _ in range(n))]
+        got = toxicity.threshold(spark.createDataFrame(rows, "logit double, toxic int").repartition(3))
+        errors = lambda cut: sum((x >= cut) != y for x, y in rows)
+        values = sorted({x for x, _ in rows})
+        cuts = [values[0] - 0.5, *((a + b) / 2 for a, b in itertools.pairwise(values)), values[-1] + 0.5]
+        assert errors(got) == min(map(errors, cuts)), (n, spread)
+        assert min(abs(got - c) for c in cuts) < 1e-9
+
+
 def test_toxicity_stage_goes_by_row(spark):
     bad, good = "you utter moron and scum", "a kind word for the day"
     rows = [(i, bad if i % 2 else good, "en", "s") for i in range(60)]
