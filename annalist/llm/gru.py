@@ -24,6 +24,8 @@ GRAMS = 1 << 15
 WORDS = 1 << 18
 RESCORED = 3  # epochs between two choices of the largest windows
 PART = 1024
+INPUTS = 1 << 14  # distinct words whose input vectors are in memory at once
+BAG_CHUNK = 1 << 19  # bytes of training texts that are taken apart at once
 EPOCHS, STEPS = 8, 400  # of training, at least
 
 
@@ -82,7 +84,7 @@ class Bag:
         words = 0
         for ids, labels, text in rows:
             known.update(zip(ids.tolist(), labels.tolist(), strict=True))
-            for lo, hi, data, offsets in text_chunks(text):
+            for lo, hi, data, offsets in text_chunks(text, BAG_CHUNK):
                 t = Tokens(data, offsets)
                 doc, grid, count = t.windows(WINDOW)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
@@ -152,20 +154,24 @@ class Model:
         known[known] = self.vocabulary[at[known]] == row[known]
         return np.where(known, at + 1, 0)
 
-    def inputs(self, t: Tokens) -> np.ndarray:
-        """Input vectors of the distinct words."""
-        word = self.p["words"][self.rows(t.hash)]
-        sums = np.zeros((len(t.hash) + 1, DIM), dtype=np.float32)
-        if len(t.gram):
-            sums[:-1] = np.add.reduceat(self.p["chars"][t.gram], t.gram_cuts[:-1], axis=0)
-        size = np.sqrt(np.maximum(np.diff(t.gram_cuts), 1))[:, None]
-        return np.concatenate([word, sums[:-1] / size], axis=1).astype(np.float32)
+    def inputs(self, t: Tokens, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Input vectors of the distinct words, or of those from lo to hi."""
+        hashes, cuts = t.hash[lo:hi], t.gram_cuts[lo : None if hi is None else hi + 1]
+        word = self.p["words"][self.rows(hashes)]
+        sums = np.zeros((len(hashes), DIM), dtype=np.float32)
+        if len(hashes):
+            sums[:] = np.add.reduceat(self.p["chars"][t.gram[cuts[0] : cuts[-1]]], cuts[:-1] - cuts[0], axis=0)
+        size = np.sqrt(np.maximum(np.diff(cuts), 1))[:, None]
+        return np.concatenate([word, sums / size], axis=1).astype(np.float32)
 
     def logits(self, t: Tokens, grid: np.ndarray) -> np.ndarray:
         """Logit of each window."""
-        x = self.inputs(t)
-        table = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])  # the last row pads
-        fore, back = table @ self.p["wf"] + self.p["bf"], table @ self.p["wb"] + self.p["bb"]
+        n = len(t.hash)
+        fore, back = (np.empty((n + 1, 3 * HIDDEN), np.float32) for _ in "fb")
+        fore[n], back[n] = self.p["bf"], self.p["bb"]  # the last row pads
+        for lo in range(0, n, INPUTS):
+            part, x = slice(lo, min(lo + INPUTS, n)), self.inputs(t, lo, min(lo + INPUTS, n))
+            fore[part], back[part] = x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]
         out = np.empty(len(grid), dtype=np.float32)
         for lo in range(0, len(grid), PART):
             out[lo : lo + PART] = self._part(fore, back, grid[lo : lo + PART])

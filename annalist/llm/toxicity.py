@@ -16,6 +16,9 @@ from annalist.llm.gru import DIM, Bag, Block, Model, Tokens
 from annalist.llm.textnum import text_chunks
 
 BLOCK_BYTES = 24 << 20  # of training texts that one task learns from at a time
+PIECE_BYTES = 4 << 10  # of a cell: Spark's readers hold 4,096 rows at once
+ROW_GROUP_BYTES = 1 << 30  # more than a block's pieces take, so that one task reads them all
+CHANGE_ROWS = 20_000  # of an Arrow batch of changes
 ONE = 1 << 24  # changes of weights are summed as integers of this fraction, in any order the same
 
 
@@ -23,25 +26,52 @@ def held_out(doc_id, folds: int = 5):
     return F.crc32(doc_id.cast("string")) % folds == 0
 
 
+BAGS = {"number": pa.int64(), "pieces": pa.int64(), "piece": pa.binary(), "n": pa.int64(), "ones": pa.int64()}
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's (doc_id, toxic, text) as one pickled Bag."""
+    """A partition's (doc_id, toxic, text) as one pickled Bag, cut into pieces; its counts stand with the first."""
     numbers = lambda column: column.to_numpy(zero_copy_only=False)
     bag = Bag((numbers(b.column(0)), numbers(b.column(1)), b.column(2)) for b in batches)
-    if len(bag.doc):
-        with_words = bag.y[np.unique(bag.doc)]
-        cells = [[pickle.dumps(bag)], [len(with_words)], [int(with_words.sum())]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bag", "n", "ones"])
+    if not len(bag.doc):
+        return
+    with_words = bag.y[np.unique(bag.doc)]
+    whole = memoryview(pickle.dumps(bag))
+    del bag
+    pieces = -(-len(whole) // PIECE_BYTES)
+    for lo in range(0, pieces, 1000):
+        number = np.arange(lo, min(lo + 1000, pieces))
+        cells = [whole[i * PIECE_BYTES : (i + 1) * PIECE_BYTES] for i in number.tolist()]
+        first = (number == 0).astype(np.int64)
+        columns = [number, np.full(len(number), pieces), cells, first * len(with_words), first * int(with_words.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, BAGS.values(), strict=True)], list(BAGS))
 
 
 def _each_bag(batches: Iterator[pa.RecordBatch]) -> Iterator[Bag]:
+    """Bags of (number, pieces, piece), whose rows follow each other."""
+    whole, expected = bytearray(), 0
     for batch in batches:
-        for cell in batch.column(0):
-            yield pickle.loads(cell.as_buffer())
+        for number, pieces, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if number != expected:
+                raise ValueError(f"piece {number} of a block where {expected} was due")
+            whole += cell.as_buffer()
+            expected = (number + 1) % pieces
+            if not expected:
+                yield _loaded(whole)
+    if expected:
+        raise ValueError(f"a block ends before piece {expected}")
+
+
+def _loaded(whole: bytearray) -> Bag:
+    bag = pickle.loads(whole)
+    whole.clear()
+    return bag
 
 
 def _rows_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bag in _each_bag(batches):
         rows, held = bag.documents_of()
+        del bag
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(held, pa.int64())], ["place", "n"])
 
 
@@ -58,9 +88,12 @@ def _learned(model, epochs: range, batch_size: int):
             gru.learn(block.model, bag, epochs, batch_size)
             place, change = block.changes()
             n = len(np.unique(bag.doc))
-            whole = np.rint(change.astype(np.float64) * ONE).astype(np.int64) * n
-            columns = [place, np.full(len(place), n), *whole.T]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+            del bag, block
+            for lo in range(0, len(place), CHANGE_ROWS):
+                part = slice(lo, lo + CHANGE_ROWS)
+                whole = np.rint(change[part].astype(np.float64) * ONE).astype(np.int64) * n
+                columns = [place[part], np.full(len(whole), n), *whole.T]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     return run, ", ".join(f"{f.name} long" for f in schema)
 
@@ -76,9 +109,10 @@ def fit(docs: DataFrame, known: DataFrame, block_bytes: int = BLOCK_BYTES) -> Mo
 
     The texts are dealt by a hash of their ids into blocks of about
     ``block_bytes``, the same wherever the rows lie, and kept as windows of word
-    numbers.  In each round a task learns from a block, beginning with the same
-    weights; the changes are averaged over the blocks that touched a weight, by
-    their documents.  Of an id with several texts, the one with the smallest hash
+    numbers, in rows of ``PIECE_BYTES``, so that the JVM never holds a block.  In
+    each round a task learns from a block, beginning with the same weights; the
+    changes are averaged over the blocks that touched a weight, by their
+    documents.  Of an id with several texts, the one with the smallest hash
     counts.  The driver gets the averaged weights alone, which the tables' sizes
     bound.
     """
@@ -94,11 +128,12 @@ def fit(docs: DataFrame, known: DataFrame, block_bytes: int = BLOCK_BYTES) -> Mo
         texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     blocks = -(-size["bytes"] // block_bytes)
     dealt = texts.repartitionById(blocks, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    bags = materialise(dealt.mapInArrow(_bags, "bag binary, n long, ones long"), "bags")
-    found = bags.agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.count(F.lit(1)).alias("blocks")).first()
+    cut = dealt.mapInArrow(_bags, "number long, pieces long, piece binary, n long, ones long")
+    bags = materialise(cut, "bags", **{"parquet.block.size": str(ROW_GROUP_BYTES), "maxRecordsPerFile": "0"})
+    found = bags.agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.count_if(F.col("number") == 0).alias("blocks")).first()
     if not found["ones"] or found["ones"] == found["n"]:
         return None
-    bags = bags.select("bag")
+    bags = bags.select("number", "pieces", "piece")
     held = bags.mapInArrow(_rows_held, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     vocabulary = held.filter("n >= 2").select(F.col("place").cast("int").alias("place")).toArrow()["place"].to_numpy()
     model = gru.start(np.sort(vocabulary).astype(np.int64))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +282,27 @@ def test_changes_of_a_block_give_its_weights():
     assert np.array_equal(whole.p["words"][untouched], model.p["words"][untouched])
 
 
+def test_inputs_of_a_range_are_those_of_all():
+    texts = [f"word{i % 7} thing{i % 3} über{i} " * 9 for i in range(12)]
+    model, t = trained(texts, [1, 0] * 6), tokens(texts)
+    whole, n = model.inputs(t), len(t.hash)
+    assert np.array_equal(np.concatenate([model.inputs(t, lo, min(lo + 4, n)) for lo in range(0, n, 4)]), whole)
+    assert whole.shape == (n, 2 * gru.DIM) and model.inputs(tokens([""])).shape == (0, 2 * gru.DIM)
+
+
+def test_scoring_holds_few_input_vectors_at_once():
+    """Beside the two tables of the distinct words, what is needed does not grow with their number."""
+    bag = gru.Bag([(np.array([1]), np.array([1]), pa.array([" ".join(f"{i}distinctword" for i in range(150_000))], pa.large_string()))])
+    model, tables = gru.start(np.empty(0, np.int64)), 2 * 3 * gru.HIDDEN * 4 * len(bag.hash)
+    tracemalloc.start()
+    try:
+        model.logits(bag, bag.grid[:10])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(bag.hash) == 150_000 and peak < tables + (24 << 20)
+
+
 def test_network_gradients():
     texts = ["you are a moron today", "nice words here and there", "word " * 50]
     model, t = trained(texts * 3, [1, 0, 0] * 3), tokens(texts)

@@ -10,12 +10,13 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from annalist.llm import common, exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, nearest, packing, substring_dedup, toxicity
 from annalist.llm.components import components
-from annalist.llm.gru import Tokens
+from annalist.llm.gru import Bag, Tokens
 
 DOCS = "doc_id long, text string, lang string, source string"
 ODD = [  # null id, null text, empty, blanks, a repeated row, a long word
@@ -599,6 +600,25 @@ def test_toxicity_learns_from_every_labelled_text(spark):
     assert bad > good + 2
 
 
+def test_toxicity_blocks_travel_in_small_pieces():
+    texts = [[" ".join(f"w{i}x{j}" for j in range(3000)) for i in range(k, 6 * k, k)] for k in (1, 7)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([1, 0] * 2 + [0]), pa.array(t)], ["doc_id", "toxic", "text"]) for t in texts]
+    rows = [pa.Table.from_batches(toxicity._bags(iter([p]))) for p in parts]
+    for r in rows:
+        assert r.num_rows > 10 and max(len(c) for c in r["piece"].to_pylist()) <= toxicity.PIECE_BYTES
+        assert (sum(r["n"].to_pylist()), sum(r["ones"].to_pylist()), r["number"].to_pylist().count(0)) == (5, 2, 1)
+    both = pa.concat_tables(rows).select(["number", "pieces", "piece"])
+    for size in (1, 7, 10_000):  # batches end anywhere
+        bags = list(toxicity._each_bag(iter(both.combine_chunks().to_batches(size))))
+        for bag, p in zip(bags, parts, strict=True):
+            whole = Bag([(p.column(0).to_numpy(), p.column(1).to_numpy(), p.column(2))])
+            assert all(np.array_equal(getattr(bag, k), v) for k, v in vars(whole).items())
+    for torn in (both.slice(1), both.slice(0, both.num_rows - 1), pa.concat_tables([both.slice(0, 3), both.slice(4)])):
+        with pytest.raises(ValueError, match="piece"):
+            list(toxicity._each_bag(iter(torn.to_batches())))
+    assert list(toxicity._bags(iter([parts[0].slice(0, 0)]))) == []
+
+
 def test_toxicity_threshold(spark):
     rng = random.Random(6)
     for n, spread in ((1, 1), (2, 1), (60, 1), (60, 8), (300, 3)):
