@@ -80,8 +80,8 @@ class Bag:
 
     def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray, pa.Array]], most: int | None = None):
         """``rows``: parts of (ids, labels, texts), each id once."""
-        hashes, sizes, runs, grids, owners, known = [], [], [], [], [], {}
-        words = 0
+        sizes, runs, grids, owners, known = [], [], [], [], {}
+        seen, number_of = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted hashes; their words' numbers, by appearance
         for ids, labels, text in rows:
             known.update(zip(ids.tolist(), labels.tolist(), strict=True))
             for lo, hi, data, offsets in text_chunks(text, BAG_CHUNK):
@@ -93,28 +93,46 @@ class Bag:
                 if most is not None:
                     place = np.lexsort((mix64(owner.view(np.uint64) * U(0x9E3779B97F4A7C15) + number.astype(np.uint64)), doc))
                     drawn = np.sort(place[number < most])
-                used, inverse = np.unique(grid[drawn], return_inverse=True)
-                inverse = inverse.reshape(-1, WINDOW) + (words if len(used) and used[0] >= 0 else words - 1)
+                used = np.unique(grid[drawn])
                 used = used[used >= 0]
-                size = np.diff(t.gram_cuts)[used]
-                at = np.repeat(t.gram_cuts[used] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                hashes.append(t.hash[used])
+                hashes = t.hash[used]
+                at = np.searchsorted(seen, hashes)
+                new = np.ones(len(used), dtype=bool)
+                new[at < len(seen)] = seen[at[at < len(seen)]] != hashes[at < len(seen)]
+                fresh = used[new]
+                number_of = np.insert(number_of, at[new], len(seen) + np.arange(len(fresh), dtype=np.int32))
+                seen = np.insert(seen, at[new], hashes[new])
+                size = np.diff(t.gram_cuts)[fresh]
                 sizes.append(size)
-                runs.append(t.gram[at].astype(np.int32))
-                grids.append(np.where(grid[drawn] >= 0, inverse, -1).astype(np.int32))
+                runs.append(t.gram[np.repeat(t.gram_cuts[fresh] - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int32))
+                numbers = np.full(len(t.hash) + 1, -1, dtype=np.int32)  # the last one pads
+                numbers[used] = number_of[np.searchsorted(seen, hashes)]
+                grids.append(numbers[grid[drawn]])
                 owners.append(owner[drawn])
-                words += len(used)
-        hashed, size, run = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (hashes, sizes, runs))
-        self.hash, first, where = np.unique(hashed, return_index=True, return_inverse=True)
+        self.hash = seen
+        size, run = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (sizes, runs))
+        del sizes, runs
         cuts = np.cumsum(size) - size
-        kept = size[first].astype(np.int64)
+        kept = size[number_of]
         self.gram_cuts = np.concatenate([[0], np.cumsum(kept)])
-        self.gram = run[np.repeat(cuts[first] - self.gram_cuts[:-1], kept) + np.arange(kept.sum())].astype(np.int32)
-        del hashed, run, hashes, sizes, runs
+        self.gram = np.empty(int(kept.sum()), dtype=np.int32)
+        for lo in range(0, len(seen), INPUTS):
+            part = kept[lo : lo + INPUTS]
+            start, end = self.gram_cuts[lo], self.gram_cuts[lo + len(part)]
+            self.gram[start:end] = run[np.repeat(cuts[number_of[lo : lo + INPUTS]] - self.gram_cuts[lo : lo + len(part)], part) + np.arange(start, end)]
+        del run
+        where = np.full(len(seen) + 1, -1, dtype=np.int32)  # a number's place among the hashes; the last one pads
+        where[number_of] = np.arange(len(seen), dtype=np.int32)
         owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        grid = np.concatenate(grids)[order] if grids else np.empty((0, WINDOW), np.int32)
-        self.grid = np.where(grid >= 0, np.append(where, 0).astype(np.int32)[grid], np.int32(-1))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.grid, lo = np.empty((len(order), WINDOW), np.int32), 0
+        grids.reverse()
+        while grids:  # each is freed as it is placed
+            grid = grids.pop()
+            self.grid[place[lo : lo + len(grid)]] = where[grid]
+            lo += len(grid)
         every = np.array(sorted(known), dtype=np.int64)
         self.y = np.array([known[i] for i in every.tolist()], dtype=np.float32)
         self.doc = np.searchsorted(every, owner[order])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import keep_rows, materialise
+from annalist.llm.common import give_back, keep_rows, materialise
 from annalist.llm.components import components
 from annalist.llm.superminhash import band_keys, short_signature, signatures
 from annalist.llm.textnum import LOWER, SPACE_SEP, Words, mix64, text_chunks, window_hashes
@@ -85,6 +85,7 @@ def _sketch(k: int):
                     ],
                     schema=schema,
                 )
+        give_back()
 
     return run, "doc_id long, version long, n_shingles long, fp long, fp2 long, keys array<long>, sig binary"
 
@@ -116,6 +117,7 @@ def _sets(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), counts, body], schema=schema
                 )
+        give_back()
 
     return run, "doc_id long, n long, items binary"
 

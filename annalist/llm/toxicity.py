@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm import gru
-from annalist.llm.common import BROADCAST_ROWS, keep_rows, materialise
+from annalist.llm.common import BROADCAST_ROWS, give_back, keep_rows, materialise
 from annalist.llm.gru import DIM, Bag, Block, Model, Tokens
 from annalist.llm.textnum import text_chunks
 
@@ -45,6 +45,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (number == 0).astype(np.int64)
         columns = [number, np.full(len(number), pieces), cells, first * len(with_words), first * int(with_words.sum())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, BAGS.values(), strict=True)], list(BAGS))
+    del whole, cells, columns
+    give_back()
 
 
 def _each_bag(batches: Iterator[pa.RecordBatch]) -> Iterator[Bag]:
@@ -58,6 +60,7 @@ def _each_bag(batches: Iterator[pa.RecordBatch]) -> Iterator[Bag]:
             expected = (number + 1) % pieces
             if not expected:
                 yield _loaded(whole)
+                give_back()
     if expected:
         raise ValueError(f"a block ends before piece {expected}")
 
@@ -162,7 +165,9 @@ def threshold(logits: DataFrame) -> float:
     for t in totals:
         shifts.append((t["part"], below, above, last))
         below, above, last = below + t["ones"], above - t["zeros"], t["last"]
-    shift = logits.sparkSession.createDataFrame(shifts, "part int, below long, above long, last double")
+    kinds = pa.schema([("part", pa.int32()), ("below", pa.int64()), ("above", pa.int64()), ("last", pa.float64())])
+    columns = [pa.array(c, t) for c, t in zip(zip(*shifts, strict=True), kinds.types, strict=True)]
+    shift = logits.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=kinds))  # from Arrow: no Python on the executors
     order = Window.partitionBy("part").orderBy("logit")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     missed = F.col("below") + F.coalesce(F.sum("ones").over(before), F.lit(0))
@@ -186,6 +191,7 @@ def _score(model):
                 logit = np.full(hi - lo, -np.inf) if net is None else net.document_logits(Tokens(data, offsets))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(logit)], schema=schema)
+        give_back()
 
     return run, "doc_id long, version long, logit double"
 

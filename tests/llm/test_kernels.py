@@ -267,6 +267,22 @@ def test_bag_keeps_every_window_of_long_texts():
     assert np.bincount(bag.doc).tolist() == [300, 1] and len(np.unique(bag.grid[:300])) == 32 * 300
 
 
+def test_bag_needs_little_more_than_its_windows():
+    """Texts that share their words: while a bag is made, memory does not hold a word's runs for every chunk."""
+    words = [f"{i}sharedword" for i in range(40_000)]
+    rng = np.random.default_rng(3)
+    rows = [(np.array([i]), np.array([i % 2]), pa.array([" ".join(words[j] for j in rng.permutation(40_000))], pa.large_string())) for i in range(40)]
+    gru.Bag(rows[:2])  # tables of powers
+    tracemalloc.start()
+    try:
+        bag = gru.Bag(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(bag.hash) == 40_000 and np.bincount(bag.doc).tolist() == [1250] * 40
+    assert peak < 2 * bag.grid.nbytes + (64 << 20)  # one chunk taken apart among it
+
+
 def test_changes_of_a_block_give_its_weights():
     texts = [f"word{i % 7} thing{i % 3} other{i % 2} " * 9 for i in range(12)]
     rows = [(np.arange(12), np.arange(12) % 3 == 0, pa.array(texts, pa.large_string()))]
