@@ -66,7 +66,7 @@ def build_graph(documents: DataFrame, parsed: dict[str, DataFrame]) -> DataFrame
 
 
 def build_indexes(chunks: DataFrame) -> dict[str, DataFrame]:
-    """Postings and statistics of the two term indexes."""
+    """Postings and statistics of the two term indexes; once postings are written, ``search.length_stats`` has the same statistics for less."""
     words, terms = X.search_tokens(F.col("text")), X.fulltext_tokens(F.col("text"))
     return {
         "bm25_postings": search.postings(chunks, words),
