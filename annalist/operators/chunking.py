@@ -240,12 +240,14 @@ def issue_chunks(issues: DataFrame, repo: str = "", as_of: str = "1970-01-01", s
 
 def release_chunks(releases: DataFrame, repo: str = "", as_of: str = "1970-01-01") -> DataFrame:
     most = max_chars("release")
-    alone = F.substring(F.concat(F.lit("[Release "), F.col("tag"), F.lit("]\n\n"), F.col("body_clean")), 1, most)
+    alone = F.concat(F.lit("[Release "), F.col("tag"), F.lit("]\n\n"), F.col("body_clean"))
+
+    def cut(text: Column) -> Column:
+        return F.when(F.length(text) > most, X.split_by_chars(text, most, OVERLAP)).otherwise(F.array(text))
 
     def section(s: Column) -> Column:
         text = F.concat(F.lit("[Release "), s["version"], F.lit("]\n"), s["heading"], F.lit("\n\n"), s["body"])
-        texts = F.when(F.length(text) > most, X.split_by_chars(text, most, OVERLAP)).otherwise(F.array(text))
-        return F.transform(texts, lambda t: piece(t, doc_id=s["version"], timestamp=s["date"]))
+        return F.transform(cut(text), lambda t: piece(t, doc_id=s["version"], timestamp=s["date"]))
 
     rows = releases.withColumn("sections", changelog_sections(F.col("body_clean"))).select(
         F.lit("release").alias("doc_type"),
@@ -254,7 +256,7 @@ def release_chunks(releases: DataFrame, repo: str = "", as_of: str = "1970-01-01
         F.lit("").alias("author"),
         _empty().alias("file_paths"),
         F.when(F.size("sections") > 0, F.flatten(F.transform("sections", section)))
-        .otherwise(F.array(piece(alone)))
+        .otherwise(F.transform(cut(alone), lambda t: piece(t)))
         .alias("pieces"),
     )
     return finish(rows, repo, as_of)
