@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,6 +50,14 @@ def rerank(candidates: DataFrame, top_k: int = 12, scorer: Scorer | None = None)
     return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).filter(F.col("rank") < top_k)
 
 
+def word_overlap(questions: pd.Series, texts: pd.Series) -> pd.Series:
+    """Share of a question's distinct words that stand in a text, in any case: a scorer that needs no model."""
+    words = re.compile(r"\w+")
+    asked = {q: set(words.findall((q or "").lower())) for q in questions.unique()}
+    shares = [len(asked[q] & set(words.findall((t or "").lower()))) / max(len(asked[q]), 1) for q, t in zip(questions, texts, strict=True)]
+    return pd.Series(shares, index=questions.index, dtype=float)
+
+
 def block(doc_type: Column, doc_id: Column, timestamp: Column, author: Column, text: Column) -> Column:
     head = [F.concat(F.lit("["), F.coalesce(c.cast("string"), F.lit("")), F.lit("]")) for c in (doc_type, doc_id, timestamp, author)]
     return F.concat(F.concat_ws(" ", *head), F.lit("\n"), text, F.lit("\n"))

@@ -72,7 +72,10 @@ def answer(
 ) -> dict[str, DataFrame]:
     """``answers`` (query_id, query, context, answer, evidence, n_chunks, used_tokens[, memo]) and ``evidence`` rows.
 
-    Questions of fewer than 3 characters are left out.
+    Questions of fewer than 3 characters are left out.  Where candidates are
+    expanded and no scorer is given, words in common decide between what was
+    found and what the graph adds; an order by ranks alone would leave all of the
+    latter out.
     """
     check_request(mode, top_k, limit)
     asked = planning.plan(queries.filter(F.length("query") >= 3))
@@ -83,11 +86,13 @@ def answer(
         found = retrieve({k: v for k, v in tables.items() if k != "vectors"}, asked, limit, doc_type=doc_type)
     if "edges" in tables:
         found = graph.expand_candidates(sinks.written(found, "candidates"), tables["chunks"], tables["edges"], hops)
+        scorer = scorer or context.word_overlap
     rows = found
     if scorer is not None:
-        rows = search.hydrate(found, tables["chunks"]).join(asked.select("query_id", "query"), "query_id")
+        texts = tables["chunks"].select("chunk_id", "text")
+        rows = search.hydrate(found, texts).join(asked.select("query_id", "query"), "query_id")
     chosen = context.rerank(rows, top_k, scorer).select("query_id", "rank", "chunk_id", "score")
-    full = search.hydrate(chosen, tables["chunks"])
+    full = sinks.written(search.hydrate(chosen, tables["chunks"]), "chosen")
     blocks = full.withColumn("block", context.block(F.col("doc_type"), F.col("doc_id"), X.iso(F.col("timestamp")), F.col("author"), F.col("text")))
     contexts = context.assemble(blocks, budget)
     ready = asked.select("query_id", "query").join(contexts, "query_id").withColumn("prompt", context.prompt(mode, F.col("query"), F.col("context")))

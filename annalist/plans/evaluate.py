@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
-from annalist.operators import evaluation
+from annalist.operators import evaluation, search
 from annalist.plans import answer as answering
 from annalist.sources import sinks
 
@@ -27,7 +27,7 @@ def run(tables: dict[str, DataFrame], pairs: DataFrame, most: int | None = None,
     shown = out["evidence"].select("query_id", "rank", "chunk_id", "doc_type", X.iso(F.col("timestamp")).alias("timestamp"))
     tags = tables["chunks"].select("chunk_id", "entity_tags")
     item = F.struct("rank", F.coalesce("timestamp", F.lit("")).alias("t"), F.coalesce("doc_type", F.lit("")).alias("d"), F.coalesce("entity_tags", F.array().cast("array<string>")).alias("e"))
-    seen = shown.join(tags, "chunk_id").groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("x"))
+    seen = search.hydrate(shown, tags).groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("x"))
     none = F.array().cast("array<string>")
     results = (
         asked.join(out["answers"].select("query_id", "answer", "context"), "query_id", "left")
