@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ TECHNOLOGIES = (
     "langchain llamaindex openai anthropic ollama mistral ragas mlflow weights\\s?&\\s?biases w&b"
 ).split()
 HEAD = 3  # characters of a word that a prefix search goes by
+BLOCK = 4_096  # terms of a prefix search that go to the entries at once
 TECH_PATTERN = r"(?i)\b(" + "|".join(TECHNOLOGIES) + r")\b"
 
 #: Labels of a named-entity model to ours; others pass through.
@@ -207,33 +212,60 @@ def merge_registry(old: DataFrame, new: DataFrame) -> DataFrame:
 def prefix_search(registry: DataFrame, terms: DataFrame, limit: int = 10, columns: list[str] | None = None) -> DataFrame:
     """(term, rank, canonical_name) of entries that hold all words of the term, the last as a prefix.
 
-    Words are sought in name, aliases, document ids and type together.  Entries
-    are tokenised once and listed under their words' first ``HEAD`` characters
-    and fewer; a term looks up as many of its last word.
+    Words are sought in name, aliases, document ids and type together.  Terms go
+    to the entries, which stay in place; a task keeps and hands on ``limit`` entries
+    a term.  Each entry looks up the first ``HEAD`` characters of its words and fewer
+    among the terms', and only what stands there is compared.
     """
     columns = columns or ["canonical_name", "aliases", "doc_ids", "entity_type"]
     parts = [F.array_join(c, " ") if dict(registry.dtypes)[c].startswith("array") else F.col(c).cast("string") for c in columns]
     words = lambda c: F.filter(F.split(F.lower(X.without_punctuation(c)), r"\s+"), lambda w: w != "")
-    entries = registry.select("canonical_name", "seq", F.array_distinct(words(F.concat_ws(" ", *parts))).alias("words"))
-    asked = (
-        terms.select("term")
-        .distinct()
-        .withColumn("asked", words(F.col("term")))
-        .filter(F.size("asked") > 0)
-        .withColumn("last", F.element_at("asked", -1))
-        .withColumn("rest", F.slice("asked", 1, F.size("asked") - 1))
-        .withColumn("head", F.substring("last", 1, HEAD))
-    )
-    lengths = F.array(*[F.lit(n) for n in range(1, HEAD + 1)])
-    heads_of = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(lengths, lambda n: F.substring(w, F.lit(1), n)))))
-    heads = entries.select("canonical_name", "seq", "words", F.explode(heads_of).alias("head"))
-    hit = heads.join(asked, "head").filter(
-        F.exists("words", lambda w: F.startswith(w, F.col("last"))) & (F.size(F.array_except("rest", "words")) == 0)
-    )
+    entries = registry.select("canonical_name", F.col("seq").cast("long").alias("seq"), F.array_distinct(words(F.concat_ws(" ", *parts))).alias("words"))
+    asked = terms.select("term").distinct().withColumn("asked", words(F.col("term"))).filter(F.size("asked") > 0)
+    sought = sinks.written(asked, "terms").toArrow()
+    found = [entries.mapInArrow(_prefixed(sought.slice(lo, BLOCK), limit), "term string, seq long, canonical_name string") for lo in range(0, sought.num_rows, BLOCK)]
+    hit = reduce(DataFrame.unionByName, found or [entries.select(F.col("canonical_name").alias("term"), "seq", "canonical_name").limit(0)])
     best = Window.partitionBy("term").orderBy("seq", "canonical_name")
     return hit.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < limit).select("term", "rank", "canonical_name")
 
 
+def _prefixed(sought: pa.Table, limit: int):
+    """Kernel: of (canonical_name, seq, words), the first ``limit`` by seq and name of each term."""
+    asked = list(zip(sought["term"].to_pylist(), sought["asked"].to_pylist(), strict=True))
+    heads: dict[str, list[int]] = {}
+    for i, (_, all_words) in enumerate(asked):
+        heads.setdefault(all_words[-1][:HEAD], []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {i: [] for i in range(len(asked))}
+        hits: dict[str, list[int]] = {}
+        for batch in batches:
+            sizes = batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            coded = batch.column("words").flatten().dictionary_encode()
+            codes, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), sizes)
+            for k, w in enumerate(coded.dictionary.to_pylist()):
+                for i in {i for n in range(1, HEAD + 1) for i in heads.get(w[:n], ())}:
+                    if w.startswith(asked[i][1][-1]):
+                        hits.setdefault(i, []).append(k)
+            place = {w: k for k, w in enumerate(coded.dictionary.to_pylist())}
+            for i, found in hits.items():
+                flags = np.zeros(len(coded.dictionary), bool)
+                flags[found] = True
+                rows = np.unique(row[flags[codes]])
+                for w in asked[i][1][:-1]:
+                    rows = np.intersect1d(rows, row[codes == place.get(w, -1)])
+                some = batch.select(["seq", "canonical_name"]).take(pa.array(rows))
+                both = pa.Table.from_batches([some] if not kept[i] else [*kept[i], some])
+                order = [("seq", "ascending"), ("canonical_name", "ascending")]
+                kept[i] = both.take(pc.sort_indices(both, sort_keys=order, null_placement="at_start")[:limit]).combine_chunks().to_batches()
+            hits.clear()
+        for i, found in kept.items():
+            for b in found:
+                yield pa.RecordBatch.from_arrays([pa.array([asked[i][0]] * b.num_rows, pa.string()), *b.columns], names=["term", "seq", "canonical_name"])
+
+    return run
+
+
 def resolve_terms(registry: DataFrame, terms: DataFrame, limit: int = 5, columns: list[str] | None = None) -> DataFrame:
     """(query_id, canonical names): of each term the first entry found, else the term; distinct in order.
 
